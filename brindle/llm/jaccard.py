@@ -211,6 +211,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
 
     def block(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
+        y = y.rename(columns=lambda c: c[2:])
         if len(x) and len(y):
             gx, gy = ([np.frombuffer(g, np.int64) for g in f["grams"]] for f in (x, y))
             nx, ny = np.array([len(g) for g in gx]), np.array([len(g) for g in gy])
@@ -231,7 +232,9 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
         return made.merge(y[["c", "label"]].rename(columns={"c": "b"}), on="b").drop_duplicates(["a", "label"])[["a", "b"]] if len(made) else made
 
     keys = ["main", "i", "j"]
-    more = asked.join(held, "c").groupBy(*keys).cogroup(spread.join(held, "c").groupBy(*keys)).applyInPandas(block, "a long, b long")
+    # both sides come from the same tables, so one gets columns of its own
+    facing = spread.join(held, "c").select(*[F.col(x).alias(f"y_{x}") for x in (*keys, "c", "label", "grams")])
+    more = asked.join(held, "c").select(*keys, "c", "label", "grams").groupBy(*keys).cogroup(facing.groupBy(*[f"y_{x}" for x in keys])).applyInPandas(block, "a long, b long")
     return classes, links.union(settle(more))
 
 
