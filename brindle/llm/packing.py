@@ -11,7 +11,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ LENGTH = 2048
 #: Pieces whose ranks within their length one task decides, about.
 ROWS_PER_BUCKET = 20_000
 #: Words that a worker remembers, and ids of them, before it starts afresh.
-CACHE_SIZE, CACHE_IDS = 500_000, 1 << 23
+CACHE_SIZE, CACHE_IDS = 800_000, 1 << 23
 #: White space by the Unicode property, which str.split() takes too but for the four separators 1C-1F.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Closing marks, and how special strings begin.
@@ -62,34 +62,38 @@ class WordIds:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        """The ids of known words, one after another."""
-        i = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def _gather(self, i: np.ndarray) -> np.ndarray:
+        """The ids of known words, by their numbers, one after another."""
         sizes = self.size[i]
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.first[i] - (ends - sizes), sizes) + np.arange(ends[-1] if len(i) else 0)]
 
     def _learn(self, new: set[str]) -> None:
         # a closing mark after a letter or digit is always a pre-token of its own, so the word before it is encoded alone
-        ended = sorted(w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].isalnum() and SPECIAL not in w)
-        plain = sorted(new.difference(ended).union(w[:-1] for w in ended).union(w[-1] for w in ended).difference(self.index))
+        ended = [w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].isalnum() and SPECIAL not in w]
+        before, marks = [w[:-1] for w in ended], [w[-1] for w in ended]
+        plain = list(new.difference(ended).union(before, marks).difference(self.index))
         for at in range(0, len(plain), 10_000):
             some = plain[at : at + 10_000]
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             self._keep(some, np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(some)))
         if ended:
-            get = self.index.__getitem__
-            sizes = self.size[[get(w[:-1]) for w in ended]] + self.size[[get(w[-1]) for w in ended]]
-            self._keep(ended, self._ids([p for w in ended for p in (w[:-1], w[-1])]), sizes)
+            i = np.array([list(map(self.index.__getitem__, side)) for side in (before, marks)]).T
+            self._keep(ended, self._gather(i.ravel()), self.size[i].sum(1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split(t) for t in texts]
-        new = set().union(*words).difference(self.index) if words else set()
-        if len(self.index) + len(new) > CACHE_SIZE or self.used > CACHE_IDS:
+        if len(self.index) > CACHE_SIZE or self.used > CACHE_IDS:
             self.clear()
-            new = set().union(*words)
-        self._learn(new)
-        return [self._ids(w) for w in words]
+        words = [self.split(t) for t in texts]
+        flat = list(chain.from_iterable(words))
+        i = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(i < 0)):
+            unknown = [flat[m] for m in missing.tolist()]
+            self._learn(set(unknown))
+            i[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        ids = self._gather(i)
+        ends = np.cumsum(np.r_[0, self.size[i]])[np.cumsum([0, *map(len, words)])]
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def split(self, text: str) -> list[str]:
         """The text's words; where that can't change ids (Latin-1 without special strings) already in lower case."""
