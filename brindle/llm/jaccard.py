@@ -157,10 +157,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     hubs = large.groupBy("gram").agg(F.min_by("c", F.xxhash64("c", "gram")).alias("hub"))
     stars = large.join(hubs, "gram").where("c <> hub").select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct()
 
-    # whole rows of the matrix, for the classes that a product needs
-    involved = settle(postings.select("c").distinct())
-    needed_texts = settle(classes.join(small_side(involved), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
-    rows = docs.join(small_side(needed_texts.select("th")), "th", "left_semi")
+    candidates = settle(pairs.union(stars).distinct())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -172,7 +169,11 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
                 if sets:
                     yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["c", "grams"])
 
-    matrix = rows.mapInArrow(whole, "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
+    def matrix_rows(needed: DataFrame) -> DataFrame:
+        """Whole rows (c, grams) of the matrix, for the classes that a product needs."""
+        texts = settle(classes.join(small_side(settle(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
+        rows = docs.join(small_side(texts.select("th")), "th", "left_semi")
+        return rows.mapInArrow(whole, "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +182,9 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
             linked = [i for i, (x, y) in enumerate((np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)) for p, q in sides) if _links(_overlap(x, y), len(x), len(y), t)]
             yield pa.record_batch([pa.array([a[i] for i in linked], pa.int64()), pa.array([b[i] for i in linked], pa.int64())], ["a", "b"])
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        right = candidates.join(matrix.select(F.col("c").alias("b"), F.col("grams").alias("gb")), "b")
-        return right.join(matrix.select(F.col("c").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb").mapInArrow(multiply, "a long, b long")
-
-    links = settle(verified(pairs.union(stars).distinct()))
+    matrix = matrix_rows(candidates.select(F.col("a").alias("c")).union(candidates.select("b")))
+    one, other = (matrix.select(F.col("c").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+    links = settle(candidates.join(other, "b").join(one, "a").select("a", "b", "ga", "gb").mapInArrow(multiply, "a long, b long"))
     if large.isEmpty():
         return classes, links
 
@@ -200,7 +199,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     inside = marked.where("label = main").select("main", "c", "label").distinct().join(outside.select("main").distinct(), "main", "left_semi")
     sizes = outside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")
-    held = matrix.join(outside.select("c").union(inside.select("c")).distinct(), "c", "left_semi")
+    held = matrix_rows(outside.select("c").union(inside.select("c")))
     left = outside.join(sizes, "main").withColumn("i", tile)
     count = inside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     right = inside.join(count, "main").withColumn("j", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("main", "c", "label", "j")
