@@ -15,7 +15,7 @@ groups of copies cost rows in proportion to their size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from hashlib import blake2b
 
@@ -36,6 +36,8 @@ NARROW, BLOCK = 48, 500
 #: Frequent columns that get a place of their own at the end of the order, and shingles counted at once.
 FREQUENT, COUNTED = 100_000, 1 << 21
 SEED = 23
+#: Bytes of a hash in a row that travels to be multiplied, and bits of the bitmaps that pairs are first tried on.
+ROW_BYTES, BITS = 5, 4096
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -134,13 +136,38 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _row_bytes(grams: np.ndarray) -> bytes:
+    """A row of the matrix as it travels: the upper 40 bits of each hash. Two of the thousand of a text agree by chance
+    once in a million pairs of texts, and an overlap has to be at its bound for that to matter."""
+    return np.ascontiguousarray(grams.astype("<i8").view(np.uint8).reshape(-1, 8)[:, 8 - ROW_BYTES :]).tobytes()
+
+
+def _row(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // ROW_BYTES, 8), np.uint8)
+    wide[:, 8 - ROW_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, ROW_BYTES)
+    return wide.view("<i8").ravel()
+
+
+def _bitmap(grams: np.ndarray) -> bytes:
+    """The set's size and a bit for each hash; the bits of two sets that differ come from shingles in one of them."""
+    bits = np.zeros(BITS, bool)
+    bits[grams.view(np.uint64) % np.uint64(BITS)] = True
+    return len(grams).to_bytes(4, "little") + np.packbits(bits).tobytes()
+
+
+def _bitmaps_may_link(x: bytes, y: bytes, t: Fraction) -> bool:
+    a, b = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+    apart = (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count()
+    return bool(_links(min(a, b, (a + b - apart) // 2), a, b, t))
+
+
 def _links(o: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fraction) -> np.ndarray | bool:
     return t.denominator * o >= t.numerator * (a + b - o)
 
 
-def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): a settled row (doc_id, th, c, n) for each row of docs, and links (a, b) between classes that connect
-    all that link: between any two linked classes there is a path of links."""
+def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, labels): a settled row (doc_id, th, c, n) for each row of docs; links (a, b) between classes that connect
+    all that link, so that between any two linked classes there is a path of links; and components (node, label) of these."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     classes = settle(_sets(docs, n))
@@ -157,49 +184,66 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     hubs = large.groupBy("gram").agg(F.min_by("c", F.xxhash64("c", "gram")).alias("hub"))
     stars = large.join(hubs, "gram").where("c <> hub").select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct()
 
-    candidates = settle(pairs.union(stars).distinct())
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in chunks(batch):
-                sets = {c: s for s in shingle_sets(part, n) if len(s) and (c := _class(s)) not in seen}
-                if len(seen) < 1_000_000:
-                    seen.update(sets)
-                if sets:
-                    yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["c", "grams"])
-
-    def matrix_rows(needed: DataFrame) -> DataFrame:
-        """Whole rows (c, grams) of the matrix, for the classes that a product needs."""
+    def described(needed: DataFrame, name: str, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """(c, name) for the classes that a product needs; name is what `describe` makes of their shingles."""
         texts = settle(classes.join(small_side(settle(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
         rows = docs.join(small_side(texts.select("th")), "th", "left_semi")
-        return rows.mapInArrow(whole, "c long, grams binary").groupBy("c").agg(F.first("grams").alias("grams"))
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sides = zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True)
-            linked = [i for i, (x, y) in enumerate((np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)) for p, q in sides) if _links(_overlap(x, y), len(x), len(y), t)]
-            yield pa.record_batch([pa.array([a[i] for i in linked], pa.int64()), pa.array([b[i] for i in linked], pa.int64())], ["a", "b"])
-
-    matrix = matrix_rows(candidates.select(F.col("a").alias("c")).union(candidates.select("b")))
-    one, other = (matrix.select(F.col("c").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    links = settle(candidates.join(other, "b").join(one, "a").select("a", "b", "ga", "gb").mapInArrow(multiply, "a long, b long"))
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                for part in chunks(batch):
+                    sets = {c: s for s in shingle_sets(part, n) if len(s) and (c := _class(s)) not in seen}
+                    if len(seen) < 1_000_000:
+                        seen.update(sets)
+                    if sets:
+                        yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([describe(s) for s in sets.values()], pa.binary())], ["c", name])
+
+        return rows.mapInArrow(whole, f"c long, {name} binary").groupBy("c").agg(F.first(name).alias(name))
+
+    def matched(pairs: DataFrame, name: str, describe: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+        """The pairs (a, b) whose descriptions pass the test."""
+        table_ = described(pairs.select(F.col("a").alias("c")).union(pairs.select("b")), name, describe)
+        one, other = (table_.select(F.col("c").alias(k), F.col(name).alias(f"d{k}")) for k in "ab")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides = zip(batch.column("da").to_pylist(), batch.column("db").to_pylist(), strict=True)
+                yield batch.select(["a", "b"]).filter(pa.array([test(x, y) for x, y in sides], pa.bool_()))
+
+        return settle(pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long"))
+
+    def may_reach(x: bytes, y: bytes) -> bool:
+        return _bitmaps_may_link(x, y, t)
+
+    def link(x: bytes, y: bytes) -> bool:
+        return bool(_links(_overlap(_row(x), _row(y)), len(x) // ROW_BYTES, len(y) // ROW_BYTES, t))
+
+    candidates = matched(settle(pairs.union(stars).distinct()), "bits", _bitmap, may_reach)
+    # one pair of each class first; then only pairs between what that has not connected
+    first = candidates.groupBy("a").agg(F.min("b").alias("b")).union(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
+    links = matched(settle(first), "grams", _row_bytes, link)
+    labels = components(links)
+    la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+    apart = candidates.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    rest = settle(apart.join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(matched(rest, "grams", _row_bytes, link))
+        labels = components(links)
     if large.isEmpty():
-        return classes, links
+        return classes, links, labels
 
     # what wide columns' commonest components leave outside
-    labels = components(links)
     marked = large.join(labels, large["c"] == labels["node"], "left").select("gram", "c", F.coalesce("label", "c").alias("label"))
     main = marked.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     marked = marked.join(main, "gram")
     outside = settle(marked.where("label <> main").select("main", "c", "label").distinct())
     if outside.isEmpty():
-        return classes, links
+        return classes, links, labels
     inside = marked.where("label = main").select("main", "c", "label").distinct().join(outside.select("main").distinct(), "main", "left_semi")
     sizes = outside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")
-    held = matrix_rows(outside.select("c").union(inside.select("c")))
+    held = described(outside.select("c").union(inside.select("c")), "grams", _row_bytes)
     left = outside.join(sizes, "main").withColumn("i", tile)
     count = inside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     right = inside.join(count, "main").withColumn("j", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("main", "c", "label", "j")
@@ -212,7 +256,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
         out: list[tuple[int, int]] = []
         y = y.rename(columns=lambda c: c[2:])
         if len(x) and len(y):
-            gx, gy = ([np.frombuffer(g, np.int64) for g in f["grams"]] for f in (x, y))
+            gx, gy = ([_row(g) for g in f["grams"]] for f in (x, y))
             nx, ny = np.array([len(g) for g in gx]), np.array([len(g) for g in gy])
             columns, at = np.unique(np.concatenate(gx), return_inverse=True)
             left = np.zeros((len(gx), len(columns)), np.float32)
@@ -234,7 +278,11 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     # both sides come from the same tables, so one gets columns of its own
     facing = spread.join(held, "c").select(*[F.col(x).alias(f"y_{x}") for x in (*keys, "c", "label", "grams")])
     more = asked.join(held, "c").select(*keys, "c", "label", "grams").groupBy(*keys).cogroup(facing.groupBy(*[f"y_{x}" for x in keys])).applyInPandas(block, "a long, b long")
-    return classes, links.union(settle(more))
+    more = settle(more)
+    if more.isEmpty():
+        return classes, links, labels
+    links = links.union(more)
+    return classes, links, components(links)
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -247,8 +295,7 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIM
     like others but is no component_id unless all of a component are null.
     Empty tables give none; other columns are ignored.
     """
-    classes, links = jaccard_links(docs, n, similarity)
-    labels = components(links)
+    classes, _, labels = jaccard_links(docs, n, similarity)
     named = classes.join(labels, classes["c"] == labels["node"], "left").select("doc_id", "th", "n", F.coalesce("label", "c").alias("label"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     joined = named.join(least, "label", "left")
