@@ -33,6 +33,8 @@ from .textkit import LOWER, SPACED, Words, buffers, chunks, family
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Columns of at most so many classes give all pairs; rows of a block.
 NARROW, BLOCK = 48, 500
+#: Rows of postings for each partition of the tables of pairs.
+PART_ROWS = 20_000
 #: Frequent columns that get a place of their own at the end of the order, and shingles counted at once.
 FREQUENT, COUNTED = 100_000, 1 << 21
 SEED = 23
@@ -174,6 +176,10 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     by_gram = "partition by gram"
     wide = _postings(docs, n, t, _frequent(docs, n)).selectExpr("*", f"min(c) over ({by_gram}) as lo", f"max(c) over ({by_gram}) as hi").where("lo < hi")
     postings = settle(wide.select("gram", "c", "n", "place").distinct().selectExpr("*", f"count(*) over ({by_gram}) as width"))
+    parts = 1 + postings.count() // PART_ROWS  # of the small tables that are made of them
+
+    def small(df: DataFrame) -> DataFrame:
+        return settle(df.coalesce(parts))
 
     def may_link(a: str, b: str) -> Column:
         need = needed(F.col(f"{a}.n"), F.col(f"{b}.n"), t)
@@ -186,7 +192,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
 
     def described(needed: DataFrame, name: str, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
         """(c, name) for the classes that a product needs; name is what `describe` makes of their shingles."""
-        texts = settle(classes.join(small_side(settle(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
+        texts = small(classes.join(small_side(small(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
         rows = docs.join(small_side(texts.select("th")), "th", "left_semi")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +217,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
                 sides = zip(batch.column("da").to_pylist(), batch.column("db").to_pylist(), strict=True)
                 yield batch.select(["a", "b"]).filter(pa.array([test(x, y) for x, y in sides], pa.bool_()))
 
-        return settle(pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long"))
+        return small(pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long"))
 
     def may_reach(x: bytes, y: bytes) -> bool:
         return _bitmaps_may_link(x, y, t)
@@ -219,14 +225,14 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     def link(x: bytes, y: bytes) -> bool:
         return bool(_links(_overlap(_row(x), _row(y)), len(x) // ROW_BYTES, len(y) // ROW_BYTES, t))
 
-    candidates = matched(settle(pairs.union(stars).distinct()), "bits", _bitmap, may_reach)
+    candidates = matched(small(pairs.union(stars).distinct()), "bits", _bitmap, may_reach)
     # one pair of each class first; then only pairs between what that has not connected
     first = candidates.groupBy("a").agg(F.min("b").alias("b")).union(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
-    links = matched(settle(first), "grams", _row_bytes, link)
+    links = matched(small(first), "grams", _row_bytes, link)
     labels = components(links)
     la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
     apart = candidates.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    rest = settle(apart.join(first, ["a", "b"], "left_anti"))
+    rest = small(apart.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(matched(rest, "grams", _row_bytes, link))
         labels = components(links)
@@ -237,7 +243,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     marked = large.join(labels, large["c"] == labels["node"], "left").select("gram", "c", F.coalesce("label", "c").alias("label"))
     main = marked.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     marked = marked.join(main, "gram")
-    outside = settle(marked.where("label <> main").select("main", "c", "label").distinct())
+    outside = small(marked.where("label <> main").select("main", "c", "label").distinct())
     if outside.isEmpty():
         return classes, links, labels
     inside = marked.where("label = main").select("main", "c", "label").distinct().join(outside.select("main").distinct(), "main", "left_semi")
@@ -278,7 +284,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     # both sides come from the same tables, so one gets columns of its own
     facing = spread.join(held, "c").select(*[F.col(x).alias(f"y_{x}") for x in (*keys, "c", "label", "grams")])
     more = asked.join(held, "c").select(*keys, "c", "label", "grams").groupBy(*keys).cogroup(facing.groupBy(*[f"y_{x}" for x in keys])).applyInPandas(block, "a long, b long")
-    more = settle(more)
+    more = small(more)
     if more.isEmpty():
         return classes, links, labels
     links = links.union(more)
