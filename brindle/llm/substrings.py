@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import BROADCAST_ROWS, settle, table
-from .textkit import SPACED, Words, buffers, chunks, family, sliding_min
+from .textkit import SPACED, Words, buffers, chunks, claim, family, sliding_min
 
 #: Words of an edge, and of the grams that minimizers are chosen among.
 WINDOW, GRAM = 50, 10
@@ -58,6 +58,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def document_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 words = Words(*buffers(part.column("text")), SPACED)
@@ -86,6 +87,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = _keyed(docs).join(sized(open_paths, places.where("not repeated")), ["doc_id", "th"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 words = Words(*buffers(part.column("text")), SPACED)
@@ -144,6 +146,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = docs.join(side, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left").select(*own, "__spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 total, gone, kept = [], [], []
