@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .cluster import settle, small_side, table
 from .components import components
-from .textkit import LOWER, SPACED, Words, buffers, chunks, claim, family
+from .textkit import LOWER, SPACED, Words, buffers, chunks, family, task
 
 #: Words of a shingle and the least similarity, unless a caller has others.
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
@@ -71,8 +71,8 @@ def needed(n_a: Column, n_b: Column, t: Fraction) -> Column:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    @task("jaccard")
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("jaccard")
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part, n)
@@ -85,8 +85,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles and their counts, for the order of columns only: any order that all tasks share is right."""
 
+    @task("jaccard")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("jaccard")
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,8 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _postings(docs: DataFrame, n: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gram, c, n, place) of the prefix of every class, from at least one of its rows in each task."""
 
+    @task("jaccard")
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("jaccard")
         seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch):
@@ -198,8 +198,8 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
         texts = small(classes.join(small_side(small(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
         rows = docs.join(small_side(texts.select("th")), "th", "left_semi")
 
+        @task("jaccard")
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            claim("jaccard")
             seen: set[int] = set()
             for batch in batches:
                 for part in chunks(batch):

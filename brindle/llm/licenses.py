@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import table
-from .textkit import ALNUM, LOWER, Words, buffers, chunks, family
+from .textkit import ALNUM, LOWER, Words, buffers, chunks, family, task
 
 #: Words of a rolling gram.
 GRAM = 3
@@ -73,6 +73,7 @@ def license_spans(docs: DataFrame, templates: TemplateSet = TemplateSet()) -> Da
     begins by its lowest and highest diagonal), n_places and coverage.
     """
 
+    @task("licenses")
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):

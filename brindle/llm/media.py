@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import table
-from .textkit import chunks
+from .textkit import chunks, task
 
 #: Pixels across, rows of a frame, hundredths of a second of a frame.
 WIDTH, ROWS, DELAY = 64, 1024, 10
@@ -284,6 +284,7 @@ def _arrow(schema: str) -> pa.Schema:
 def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each text's UTF-8 bytes (null: empty), zero-padded to a positive multiple of the width, as a GIF in column media."""
 
+    @task("media")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -297,6 +298,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def media_frames(media: DataFrame) -> DataFrame:
     """A row for each frame of column media: time, size, RGBA pixels of the canvas and colour histogram. Null media have none."""
 
+    @task("media")
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
@@ -324,6 +326,7 @@ def media_digests(media: DataFrame) -> DataFrame:
         shown = ",".join(f"{i}:{hist[i]}" for i in np.flatnonzero(hist))
         return [key, size, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"gif;frames={frames};ms={ms};histogram={shown}", frames, ms, hist.tolist()]
 
+    @task("media")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "media"):

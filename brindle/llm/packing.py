@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import settle, table
-from .textkit import chunks, claim
+from .textkit import chunks, task
 
 LENGTH = 2048
 #: Pieces whose ranks within their length one task decides, about.
@@ -114,8 +114,8 @@ def word_ids(path: str) -> WordIds:
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """The pieces of each row's ids and a closing id 0: one, or cut into `length` tokens. Null texts are empty."""
 
+    @task("packing", word_ids.cache_clear)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing", word_ids.cache_clear)
         for batch in batches:
             for part in chunks(batch):
                 rows = []

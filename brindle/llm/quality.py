@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import table
-from .textkit import chunks, claim
+from .textkit import chunks, task
 
 #: The fit uses at most so many labelled rows of each class, half for the dictionary and half for calibration,
 #: of texts of at most so many characters; the dictionaries' size; the compression level.
@@ -106,8 +106,8 @@ def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = THRE
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*kept).schema
 
+    @task("quality", _compressors.cache_clear)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality", _compressors.cache_clear)
         for batch in batches:
             for part in chunks(batch):
                 s = model.scores([t or "" for t in part.column("text").to_pylist()])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import BROADCAST_ROWS, settle, table
-from .textkit import SPACED, Words, buffers, chunks, claim, family, sliding_min
+from .textkit import SPACED, Words, buffers, chunks, family, sliding_min, task
 
 #: Words of an edge, and of the grams that minimizers are chosen among.
 WINDOW, GRAM = 50, 10
@@ -57,8 +57,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def document_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    @task("substrings")
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 words = Words(*buffers(part.column("text")), SPACED)
@@ -86,8 +86,8 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     open_paths = places.where("not repeated").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("paths"))
     texts = _keyed(docs).join(sized(open_paths, places.where("not repeated")), ["doc_id", "th"])
 
+    @task("substrings")
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 words = Words(*buffers(part.column("text")), SPACED)
@@ -145,8 +145,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     side = sized(spans.withColumnsRenamed({"doc_id": "__id", "th": "__th", "spans": "__spans"}), spans.select(F.explode("spans")))
     joined = docs.join(side, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left").select(*own, "__spans")
 
+    @task("substrings")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substrings")
         for batch in batches:
             for part in chunks(batch):
                 total, gone, kept = [], [], []

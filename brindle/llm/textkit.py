@@ -8,6 +8,8 @@ any word range of a row is hashed in constant time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,14 +32,40 @@ LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astyp
 _held: dict[str, Callable[[], None]] = {}
 
 
-def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """Called by a task as it begins: frees what other operators have cached in this worker, and names what `owner` will cache."""
+def _trim() -> None:
+    """Gives memory that is free in this worker back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _begin(owner: str, clear: Callable[[], None] | None) -> None:
     for name in [n for n in _held if n != owner]:
         _held.pop(name)()
     if clear:
         _held[owner] = clear
 
 
+def task(owner: str, clear: Callable[[], None] | None = None) -> Callable:
+    """Marks a function over batches as work of `owner`: a worker keeps the caches of one operator only, and no free memory.
+
+    Workers outlive tasks, so what an operator has cached (`clear` empties it)
+    would else stay beside what the next ones need.
+    """
+
+    def mark(work: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _begin(owner, clear)
+            try:
+                yield from work(batches)
+            finally:
+                _trim()
+
+        return run
+
+    return mark
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import table
-from .textkit import chunks, claim
+from .textkit import chunks, task
 
 #: The pre-token pattern of the byte-level vocabulary (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -145,8 +145,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_column: str =
     ignored. `path` is a tokenizer file that every machine has.
     """
 
+    @task("token_counts", merger.cache_clear)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("token_counts", merger.cache_clear)
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
