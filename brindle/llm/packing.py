@@ -24,8 +24,8 @@ from .textkit import chunks, task
 LENGTH = 2048
 #: Pieces whose ranks within their length one task decides, about.
 ROWS_PER_BUCKET = 20_000
-#: Words that a worker remembers, and ids of them, before it starts afresh.
-CACHE_SIZE, CACHE_IDS = 800_000, 1 << 23
+#: Words that a worker remembers before it starts afresh (some 200 bytes each), and ids of them for each word at most.
+CACHE_WORDS, IDS_PER_WORD = 800_000, 10
 #: White space by the Unicode property, which str.split() takes too but for the four separators 1C-1F.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Closing marks, and how special strings begin.
@@ -36,13 +36,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of white-space separated words, each encoded once by the library and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = regex.compile(r"\P{White_Space}+")
+        self.cache_words = cache_words
         self.clear()
 
     def clear(self) -> None:
@@ -82,7 +83,7 @@ class WordIds:
             self._keep(ended, self._gather(i.ravel()), self.size[i].sum(1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE_SIZE or self.used > CACHE_IDS:
+        if len(self.index) > self.cache_words or self.used > self.cache_words * IDS_PER_WORD:
             self.clear()
         words = [self.split(t) for t in texts]
         flat = list(chain.from_iterable(words))
@@ -107,11 +108,11 @@ class WordIds:
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, cache_words: int) -> WordIds:
+    return WordIds(path, cache_words)
 
 
-def token_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, cache_words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of each row's ids and a closing id 0: one, or cut into `length` tokens. Null texts are empty."""
 
     @task("packing", word_ids.cache_clear)
@@ -119,7 +120,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 rows = []
-                for key, ids in zip(part.column("doc_id").to_pylist(), word_ids(path).encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for key, ids in zip(part.column("doc_id").to_pylist(), word_ids(path, cache_words).encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     ids = np.append(ids, np.uint32(0)).astype("<u4")
                     rows += [(key, i, at, len(p := ids[at : at + length]), zlib.crc32(p.tobytes())) for i, at in enumerate(range(0, len(ids), length))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -269,9 +270,9 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranked.select(*OWN, "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """Tokenises docs once, keeps the pieces (a few numbers each), and packs them."""
-    return pack(settle(token_pieces(docs, path, length)), length)
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Tokenises docs once, keeps the pieces (a few numbers each), and packs them. cache_words bounds a worker's memory only."""
+    return pack(settle(token_pieces(docs, path, length, cache_words)), length)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
