@@ -1,4 +1,555 @@
 """All registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import scalar as S
+from brindle.operators import fulltext, relational, vectors
+from brindle.sources import tables
+from brindle.sources.tables import load
+from brindle.streaming import feeds
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def both(name: str, sql: str, oracle: str | None = None) -> None:
+    """A query in SQL; the oracle is the same statement unless given."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables.register(spark, sf_dir, sql)
+        return spark.sql(sql)
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle or sql
+
+
+def query(oracle: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- scans, projection, limits
+both("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(l_discount), 7) AS avg_disc, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""")
+both("scan_project_filter", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
+both("scan_range_pushdown", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND o_orderstatus IN ('F', 'O')")
+both("limit_topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+both("limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 30")
+both("count_star", "SELECT count(*) AS n FROM lineitem")
+both("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+both("select_without_from", "SELECT 1 AS one, 'x' AS letter")
+both("derived_table", "SELECT t.seg, t.n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) AS t WHERE t.n > 10")
+both("setop_source", "SELECT k, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region) AS u GROUP BY k")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = load(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return load(spark, sf_dir, "customer").join(ids, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT i AS id, trim(unnest(string_split(x, ','))) AS item FROM (VALUES (1, 'a, b,c'), (2, 'solo')) AS t(i, x) UNION ALL SELECT 3, unnest(['p', 'q'])")
+def tvf_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "a, b,c"), (2, "solo"), (3, '["p","q"]'), (4, None)], "id int, x string")
+    return tables.unnest(rows, "x").select("id", "item")
+
+
+@query("SELECT value FROM (SELECT unnest(generate_series(5, -5, -3)) AS value)")
+def tvf_generate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.generate_series(spark, 5, -5, -3)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    nation = load(spark, sf_dir, "nation")
+    path = f"{tables.shared_folder(spark).rstrip('/')}/nation-{uuid.uuid4().hex}.csv"
+    tables.write_csv(nation, path)
+    return tables.read_csv(spark, path, nation.schema)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey < 10")
+def batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    supplier = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    path = f"{tables.shared_folder(spark).rstrip('/')}/supplier-{uuid.uuid4().hex}"
+    supplier.write.parquet(path)
+    supplier.where("s_suppkey < 10").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1")
+def view_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    spark.sql("CREATE OR REPLACE TEMP VIEW per_nation(nation, n) AS SELECT s_nationkey, count(*) FROM supplier GROUP BY s_nationkey")
+    return spark.sql("SELECT nation, n FROM per_nation")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")
+def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return relational.sql_rows(spark, "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = ? AND c_acctbal > ?", "BUILDING", 1000)
+
+
+# --- predicates and expressions
+both("pred_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 5, 9) AND c_mktsegment NOT IN ('BUILDING')")
+both("pred_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 900 AND 1000")
+both("pred_like", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%01_' AND c_name NOT LIKE 'Z%'")
+both("pred_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A%'")
+both("pred_regexp", "SELECT p_partkey FROM part WHERE regexp_like(p_brand, '[12]$')", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '[12]$')")
+both("pred_starts_with", "SELECT p_partkey FROM part WHERE startswith(p_type, 'S')", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S')")
+both("pred_is_distinct", "SELECT n_nationkey, NULLIF(n_regionkey, 1) IS DISTINCT FROM NULLIF(n_nationkey, 2) AS d, NULLIF(n_regionkey, 1) IS NOT DISTINCT FROM NULL AS e FROM nation")
+both("pred_null_tests", "SELECT n_nationkey, NULLIF(n_regionkey, 0) IS NULL AS a, (NULLIF(n_regionkey, 0) > 1) IS NOT TRUE AS b, (NULLIF(n_regionkey, 0) > 1) IS UNKNOWN AS c FROM nation", "SELECT n_nationkey, NULLIF(n_regionkey, 0) IS NULL AS a, coalesce(NULLIF(n_regionkey, 0) > 1, false) = false AS b, (NULLIF(n_regionkey, 0) > 1) IS NULL AS c FROM nation")
+
+
+@query("SELECT n_nationkey, ((n_regionkey > 1 AND NOT n_nationkey > 12) OR (NOT n_regionkey > 1 AND n_nationkey > 12)) AS x FROM nation")
+def pred_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", S.xor(F.col("n_regionkey") > 1, F.col("n_nationkey") > 12).alias("x"))
+
+
+@query("SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS b, xor(p_partkey, 5) AS c, ~p_partkey AS d, (p_partkey << 3) AS e, (p_partkey >> 2) AS f, CAST(NULL AS BIGINT) AS g FROM part")
+def bit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select("p_partkey", k.bitwiseAND(12).alias("a"), k.bitwiseOR(3).alias("b"), k.bitwiseXOR(5).alias("c"), F.bitwise_not(k).alias("d"), S.shift_left(k, F.lit(3)).alias("e"), S.shift_right(k, F.lit(2)).alias("f"), S.shift_left(k, F.lit(64)).alias("g"))
+
+
+both("case_simple", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'z' END AS c FROM nation")
+both("case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS band FROM orders")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_orderkey - 500) // l_linenumber AS BIGINT) AS q, CAST((l_orderkey - 500) // NULLIF(l_linenumber - 3, 0) AS BIGINT) AS z, CAST((l_orderkey - 500) % NULLIF(l_linenumber - 3, 0) AS BIGINT) AS m, round((l_orderkey - 500) / NULLIF(l_linenumber - 3, 0), 6) AS d FROM lineitem")
+def arith_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_orderkey") - 500, F.col("l_linenumber").cast("long")
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.int_div(a, b).alias("q"), S.int_div(a, b - 3).alias("z"), S.modulo(a, b - 3).alias("m"), F.round(S.divide(a, b - 3), 6).alias("d"))
+
+
+both("cast_family", "SELECT p_partkey, CAST(p_partkey AS STRING) AS s, CAST(CAST(CAST(p_retailprice AS DOUBLE) - 0.5 AS BIGINT) AS BIGINT) AS i, CAST('2.5' AS DOUBLE) AS d, CAST('2024-02-03' AS DATE) AS t FROM part", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS s, CAST(trunc(p_retailprice - 0.5) AS BIGINT) AS i, CAST('2.5' AS DOUBLE) AS d, DATE '2024-02-03' AS t FROM part")
+both("try_cast", "SELECT c_custkey, try_cast(substr(c_name, 1, 3) AS BIGINT) AS a, try_cast(CAST(c_custkey AS STRING) AS BIGINT) AS b FROM customer", "SELECT c_custkey, try_cast(substr(c_name, 1, 3) AS BIGINT) AS a, try_cast(CAST(c_custkey AS VARCHAR) AS BIGINT) AS b FROM customer")
+both("concat_operator", "SELECT n_name || '-' || CAST(n_regionkey AS STRING) AS t, n_name || NULLIF(n_name, n_name) AS u FROM nation", "SELECT n_name || '-' || CAST(n_regionkey AS VARCHAR) AS t, n_name || NULLIF(n_name, n_name) AS u FROM nation")
+
+# --- joins
+both("join_inner", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+both("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1")
+both("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
+both("join_right", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
+both("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 50) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey > 20 AND c_custkey < 90) c ON s_suppkey = c_custkey")
+both("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+both("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
+both("join_left_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def join_right_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    poor = load(spark, sf_dir, "customer").where("c_acctbal < 0")
+    orders = load(spark, sf_dir, "orders")
+    return relational.right_semi(poor, orders, poor["c_custkey"] == orders["o_custkey"]).select("o_orderkey")
+
+
+@query("SELECT k, n, r FROM (SELECT n_regionkey AS k, n_name AS n FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name AS r FROM region WHERE r_regionkey > 0)")
+def join_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("n"))
+    right = load(spark, sf_dir, "region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("r"))
+    return relational.natural_join(left, right)
+
+
+both("join_using", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x LEFT JOIN (SELECT r_regionkey AS k, r_name AS b FROM region WHERE r_regionkey < 3) y USING (k)")
+both("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+both("join_star", "SELECT r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, c_mktsegment")
+both("anti_left_join", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+both("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+
+# --- aggregation
+both("agg_group", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_orderpriority")
+both("agg_global", "SELECT count(*) AS n, count(o_orderkey) AS k, round(avg(o_totalprice), 6) AS mean, max(o_orderdate) AS last FROM orders WHERE o_totalprice > 1e12")
+both("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
+both("agg_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 150000) AS big, round(sum(o_totalprice) FILTER (WHERE o_orderpriority LIKE '1%'), 2) AS urgent FROM orders GROUP BY o_orderstatus")
+both("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 100000")
+both("agg_having_global", "SELECT count(*) AS n FROM orders HAVING count(*) > 5")
+both("agg_expression", "SELECT l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AS early, round(100.0 * sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 4) AS share FROM lineitem GROUP BY l_shipdate < TIMESTAMP '1995-01-01 00:00:00'")
+both("agg_multidim", "SELECT c_nationkey, c_mktsegment, count(*) AS n, round(avg(c_acctbal), 7) AS mean FROM customer GROUP BY c_nationkey, c_mktsegment")
+both("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+both("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+both("agg_any_value", "SELECT n_regionkey, any_value(n_regionkey + 1) AS x FROM nation GROUP BY n_regionkey")
+
+
+@query("SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders GROUP BY o_orderstatus")
+def agg_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).count()
+    return orders.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).alias("urgent"), F.coalesce("5-LOW", F.lit(0)).alias("low"))
+
+
+@query("SELECT l_returnflag, CAST(sum(CAST(l_orderkey AS DOUBLE)) AS DOUBLE) AS small, round(sum(CAST(4611686018427387904 AS DOUBLE)) / 1e18, 6) AS big FROM lineitem GROUP BY l_returnflag")
+def sum_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(S.sum_promote(F.col("l_orderkey")).alias("small"), F.round(S.sum_promote(F.lit(4611686018427387904)) / 1e18, 6).alias("big"))
+
+
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS ndv, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query(_PROFILE)
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.profile(load(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query(None)
+def profile_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.histogram(load(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@query(None)
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").sample(fraction=0.05, seed=7)
+
+
+# --- windows
+def _window(name: str, expression: str, table: str = "orders", keys: str = "o_orderkey", oracle: str | None = None) -> None:
+    sql = f"SELECT {keys}, {{}} AS w FROM {table}"
+    both(name, sql.format(expression), sql.format(oracle) if oracle else None)
+
+
+_BY = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_window("win_row_number", f"CAST(row_number() OVER ({_BY}) AS BIGINT)")
+_window("win_rank", "CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT)")
+_window("win_dense_rank", "CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT)")
+_window("win_percent_rank", "round(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 6)")
+_window("win_cume_dist", "round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority), 6)")
+_window("win_ntile", f"CAST(ntile(3) OVER ({_BY}) AS BIGINT)")
+both("win_lag_lead", f"SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER ({_BY}) AS before, lead(o_totalprice, 2) OVER ({_BY}) AS after FROM orders")
+both("win_first_last_nth", f"SELECT o_orderkey, first_value(o_orderkey) OVER ({_BY}) AS a, last_value(o_orderkey) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b, nth_value(o_orderkey, 2) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c FROM orders")
+both("win_agg_running", f"SELECT o_orderkey, round(sum(o_totalprice) OVER ({_BY}), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n, round(avg(o_totalprice) OVER ({_BY}), 7) AS m, max(o_totalprice) OVER ({_BY}) AS hi FROM orders")
+_window("win_rows_frame", f"round(sum(o_totalprice) OVER ({_BY} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2)")
+_window("win_range_frame", "count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)")
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS w FROM orders")
+def win_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, frame = relational.groups_frame(load(spark, sf_dir, "orders"), ["o_custkey"], [F.asc("o_orderpriority")], -1, 0)
+    return ranked.select("o_orderkey", F.round(F.sum("o_totalprice").over(frame), 2).alias("w"))
+
+
+both("win_named", "SELECT conv_id, turn, CAST(row_number() OVER w AS BIGINT) AS a, CAST(sum(length(text)) OVER w AS BIGINT) AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+both("win_after_group", "SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC, o_custkey) AS BIGINT) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t")
+
+
+@query("SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders) WHERE rn <= 2")
+def group_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.group_top_n(load(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey", "rn")
+
+
+# --- sorting and set operations
+both("order_nulls", "SELECT n_name, NULLIF(n_regionkey, 2) AS k FROM nation ORDER BY k DESC NULLS FIRST, n_name ASC NULLS LAST LIMIT 12")
+both("order_ordinal", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1")
+both("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+both("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+both("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+both("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+both("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+both("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+both("setop_order_limit", "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION SELECT o_orderkey FROM orders) u ORDER BY k DESC LIMIT 15")
+both("setop_nested", "SELECT k FROM ((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)) t")
+both("cte_multi", "WITH big(k, total) AS (SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY o_custkey), top AS (SELECT k FROM big WHERE total > 1500000) SELECT c_custkey, c_name FROM customer JOIN top ON c_custkey = k UNION ALL SELECT -1, 'none'")
+both("cte_recursive_counter", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+both("cte_recursive_fibonacci", "WITH RECURSIVE f(i, a, b) AS (SELECT 1, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 40) SELECT i, a FROM f")
+both("cte_recursive_hierarchy", "WITH RECURSIVE e AS (SELECT n_nationkey AS id, CAST(floor(n_nationkey / 3) AS INT) AS boss FROM nation), t(id, depth) AS (SELECT id, 0 FROM e WHERE id = 0 UNION ALL SELECT e.id, t.depth + 1 FROM e JOIN t ON e.boss = t.id WHERE e.id <> 0) SELECT id, depth FROM t")
+
+
+@query("WITH RECURSIVE t(k) AS (SELECT 1 UNION SELECT (k * 7) % 25 FROM t) SELECT CAST(k AS INTEGER) AS k FROM t")
+def cte_recursive_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.recursive_distinct(spark.sql("SELECT 1 AS k"), lambda t: t.select(((F.col("k") * 7) % 25).cast("int").alias("k")))
+
+
+# --- subqueries
+both("sub_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM orders)")
+both("sub_scalar_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer")
+both("sub_in", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+both("sub_not_in", "SELECT count(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region WHERE r_regionkey IN (1, 2))")
+both("sub_exists_corr", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice FROM part WHERE p_size = 50)")
+def sub_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part")
+    return relational.compare_any(part, "p_retailprice", ">", part.where("p_size = 50").select(F.col("p_retailprice").alias("v")), "v").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 7)")
+def sub_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part")
+    return relational.compare_all(part, "p_retailprice", ">=", part.where("p_size = 7").select(F.col("p_retailprice").alias("v")), "v").select("p_partkey")
+
+
+# --- scalar functions
+@query("SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, CAST(length(p_name) AS INTEGER) AS c, substr(p_name, 2, 4) AS d, replace(p_type, 'S', 's') AS e, trim('  x ') AS f, CAST(instr(p_name, 'a') AS INTEGER) AS g, starts_with(p_name, 'b') AS h, chr(937) AS i, CAST(unicode(p_brand) AS INTEGER) AS j, substr(p_name, 1, 1) || 'ZZ' || substr(p_name, 4) AS k FROM part")
+def fn_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", F.upper(n).alias("a"), F.lower("p_brand").alias("b"), F.length(n).alias("c"), S.substr(n, F.lit(2), F.lit(4)).alias("d"), F.replace("p_type", F.lit("S"), F.lit("s")).alias("e"), S.trim_chars(F.lit("  x ")).alias("f"),
+        F.instr(n, "a").alias("g"), n.startswith("b").alias("h"), S.from_code_point(F.lit(937)).alias("i"), S.code_point(F.col("p_brand")).alias("j"), F.overlay(n, F.lit("ZZ"), F.lit(2), F.lit(2)).alias("k"),
+    )
+
+
+@query("SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS b, CAST(ceil(c_acctbal) AS DOUBLE) AS c, CAST(floor(c_acctbal) AS DOUBLE) AS d, CAST(sign(c_acctbal) AS DOUBLE) AS e, round(pow(abs(c_acctbal), 0.5), 4) AS f, round(cbrt(abs(c_acctbal)), 4) AS g, CAST(factorial(CAST(c_custkey % 20 AS INTEGER)) AS BIGINT) AS h, ~c_custkey AS i FROM customer")
+def fn_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, k = F.col("c_acctbal"), F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(
+        "c_custkey", F.abs(b).alias("a"), S.round_away(b, 1).alias("b"), S.ceil_real(b).alias("c"), S.floor_real(b).alias("d"), F.sign(b).alias("e"), F.round(S.power(F.abs(b), F.lit(0.5)), 4).alias("f"), F.round(F.cbrt(F.abs(b)), 4).alias("g"), S.factorial(k % 20).alias("h"), F.bitwise_not(k).alias("i")
+    )
+
+
+both("fn_conditional", "SELECT n_nationkey, coalesce(NULLIF(n_regionkey, 1), -1) AS a, ifnull(NULLIF(n_regionkey, 2), 7) AS b, greatest(n_regionkey, 2) AS c, least(n_nationkey, 9) AS d FROM nation")
+
+
+@query("SELECT 'o_orderkey' AS column_name, 'integer' AS kind UNION ALL SELECT 'o_custkey', 'integer' UNION ALL SELECT 'o_orderstatus', 'text' UNION ALL SELECT 'o_totalprice', 'real' UNION ALL SELECT 'o_orderdate', 'text' UNION ALL SELECT 'o_orderpriority', 'text'")
+def fn_typeof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, S.type_name(t)) for n, t in load(spark, sf_dir, "orders").dtypes], "column_name string, kind string")
+
+
+@query("SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS mo, CAST(day(ts) AS BIGINT) AS d, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS BIGINT) AS s FROM events")
+def fn_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"y": "YEAR", "mo": "MONTH", "d": "DAY", "h": "HOUR", "mi": "MINUTE", "s": "SECOND"}
+    return load(spark, sf_dir, "events").select("event_id", *[S.date_field(f, F.col("ts")).alias(n) for n, f in names.items()])
+
+
+both("fn_documented_string", "SELECT n_nationkey, lpad(n_name, 12, '*') AS a, rpad(n_name, 12, '.') AS b, reverse(n_name) AS c, split_part('a-b-c', '-', 2) AS d, concat_ws('/', n_name, 'x') AS e, left(n_name, 2) AS f, right(n_name, 2) AS g, repeat('ab', 2) AS h, regexp_replace(n_name, 'A', 'a') AS i FROM nation", "SELECT n_nationkey, lpad(n_name, 12, '*') AS a, rpad(n_name, 12, '.') AS b, reverse(n_name) AS c, split_part('a-b-c', '-', 2) AS d, concat_ws('/', n_name, 'x') AS e, left(n_name, 2) AS f, right(n_name, 2) AS g, repeat('ab', 2) AS h, regexp_replace(n_name, 'A', 'a', 'g') AS i FROM nation")
+both("fn_documented_math", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 4) AS a, round(exp(c_nationkey / 10.0D), 4) AS b, round(ln(c_custkey + 1), 6) AS c, round(sin(c_acctbal), 6) AS d, round(atan(c_acctbal), 6) AS e, round(degrees(pi()), 4) AS f FROM customer", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 4) AS a, round(exp(c_nationkey / 10.0), 4) AS b, round(ln(c_custkey + 1), 6) AS c, round(sin(c_acctbal), 6) AS d, round(atan(c_acctbal), 6) AS e, round(degrees(pi()), 4) AS f FROM customer")
+both("fn_documented_dates", "SELECT o_orderkey, date_trunc('MONTH', o_orderdate) AS a, CAST(datediff(o_orderdate, TIMESTAMP '1992-01-01 00:00:00') AS BIGINT) AS b, date_format(o_orderdate, 'yyyy-MM-dd') AS c FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS a, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS b, strftime(o_orderdate, '%Y-%m-%d') AS c FROM orders")
+both("fn_group_concat", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+
+
+# --- JSON
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS k1, json_extract_string('{\"a\":{\"b\":[5,6]}}', '$.a.b[1]') AS deep, '1' AS yes FROM events")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("props")
+    return load(spark, sf_dir, "events").select("event_id", S.json_extract(p, "k").alias("k"), (S.json_extract(p, "$.k").cast("long") + 1).alias("k1"), S.json_extract(F.lit('{"a":{"b":[5,6]}}'), "$.a.b[1]").alias("deep"), S.json_extract(F.lit('{"t":true}'), "t").alias("yes"))
+
+
+both("json_build", "SELECT n_nationkey, to_json(array(n_nationkey, n_regionkey)) AS a, to_json(named_struct('n', n_name, 'k', n_nationkey)) AS o FROM nation", "SELECT n_nationkey, CAST(json_array(n_nationkey, n_regionkey) AS VARCHAR) AS a, CAST(json_object('n', n_name, 'k', n_nationkey) AS VARCHAR) AS o FROM nation")
+
+
+@query("SELECT * FROM (VALUES ('{\"a\":1,\"b\":2}', 'OBJECT', 2, 1), ('[1,2,3]', 'ARRAY', 3, 1), ('7', 'INTEGER', 1, 1), ('2.5', 'DOUBLE', 1, 1), ('true', 'BOOLEAN', 1, 1), ('\"x\"', 'STRING', 1, 1), ('null', 'NULL', 1, 1)) AS t(doc, kind, n, ok)")
+def json_introspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(x,) for x in ('{"a":1,"b":2}', "[1,2,3]", "7", "2.5", "true", '"x"', "null")], "doc string")
+    return docs.select("doc", S.json_type(F.col("doc")).alias("kind"), S.json_length(F.col("doc")).alias("n"), S.json_valid(F.col("doc")).alias("ok"))
+
+
+@query("SELECT p_partkey, CAST(p_size IN (1, 7, 9) AS INTEGER) AS hit FROM part")
+def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_contains(F.from_json(F.lit("[1,7,9]"), "array<string>"), F.col("p_size").cast("string")).cast("int").alias("hit"))
+
+
+@query("SELECT event_id, CAST(NULL AS VARCHAR) AS gone, json_extract_string(props, '$.k') AS kept, '5' AS added, json_extract_string(props, '$.k') AS inserted, '0' AS replaced FROM events")
+def json_mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("props")
+    return load(spark, sf_dir, "events").select(
+        "event_id", S.json_extract(S.json_remove(p, "k"), "k").alias("gone"), S.json_extract(S.json_set(p, "z", F.lit(5)), "k").alias("kept"), S.json_extract(S.json_set(p, "z", F.lit(5)), "z").alias("added"), S.json_extract(S.json_insert(p, "k", F.lit(0)), "k").alias("inserted"), S.json_extract(S.json_replace(p, "k", F.lit(0)), "k").alias("replaced")
+    )
+
+
+# --- full text
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+
+
+@query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n, {_TOKENS}[1] AS first FROM documents")
+def fts_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = load(spark, sf_dir, "documents").select("doc_id", fulltext.tokens(F.col("text")).alias("bag"))
+    return bag.select("doc_id", F.size("bag").cast("long").alias("n"), F.get("bag", F.lit(0)).alias("first"))
+
+
+@query(f"SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY 1, 2) GROUP BY token")
+def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.postings(load(spark, sf_dir, "documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+def _bm25(words: list[str], k1: float, b: float) -> str:
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""WITH bag AS (SELECT doc_id, {_TOKENS} AS bag FROM documents), d AS (SELECT doc_id, CAST(len(bag) AS DOUBLE) AS dl, bag FROM bag), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, dl, unnest(bag) AS token FROM d) WHERE token IN ({listed}) GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)
+SELECT doc_id AS doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score FROM tf JOIN df USING (token) CROSS JOIN s GROUP BY doc_id"""
+
+
+@query(_bm25(["license", "work", "the"], 1.2, 0.75))
+def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.bm25(load(spark, sf_dir, "documents"), "doc_id", "License work the", "text").select("doc", F.round("score", 6).alias("score"))
+
+
+@query(_bm25(["and", "los"], 2.0, 0.3))
+def fts_bm25_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.bm25(load(spark, sf_dir, "documents"), "doc_id", "and los", "text", k1=2.0, b=0.3).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, (CAST(contains(lower(text), 'license') AS INTEGER) + CAST(contains(lower(text), 'thon') AS INTEGER) + CAST(contains(lower(text), 'qqq') AS INTEGER)) / 3.0 AS score FROM documents) WHERE score > 0")
+def fts_match_against(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.match_against(load(spark, sf_dir, "documents"), "license thon qqq", "text").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'under') AND contains(lower(text), 'license')")
+def fts_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.match_all(load(spark, sf_dir, "documents"), "under license", "text").select("doc_id")
+
+
+@query(f"SELECT token, CAST(levenshtein(token, 'there') AS INTEGER) AS distance FROM (SELECT DISTINCT unnest({_TOKENS}) AS token FROM documents) WHERE levenshtein(token, 'there') <= 1")
+def fts_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = load(spark, sf_dir, "documents").select(F.explode(fulltext.tokens(F.col("text"))).alias("token")).distinct()
+    return fulltext.fuzzy_terms(terms, "token", "there", 1)
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(licensed|license|licence)')")
+def fts_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fulltext.expand_synonyms(["license"], {"license": ["licence", "licensed"]})
+    return load(spark, sf_dir, "documents").where(F.lower("text").rlike("(" + "|".join(words) + ")")).select("doc_id")
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
+def fts_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.facets(load(spark, sf_dir, "documents"), "lang", 3)
+
+
+# --- vectors
+_ONES = [1.0 if i % 2 else -0.5 for i in range(64)]
+_LIST = "[" + ", ".join(map(str, _ONES)) + "]::DOUBLE[]"
+_E = "CAST(embedding AS DOUBLE[])"
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    return load(spark, sf_dir, "embeddings"), F.array(*[F.lit(x) for x in _ONES])
+
+
+@query(f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_LIST}), 5) AS d FROM embeddings")
+def vec_distance_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _embeddings(spark, sf_dir)
+    return rows.select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), q), 5).alias("d"))
+
+
+@query(f"SELECT vec_id, round(list_distance({_E}, {_LIST}), 5) AS d FROM embeddings")
+def vec_distance_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _embeddings(spark, sf_dir)
+    return rows.select("vec_id", F.round(vectors.l2_distance(F.col("embedding"), q), 5).alias("d"))
+
+
+@query(f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(embedding[1] / sqrt(list_inner_product({_E}, {_E})), 5) AS x FROM embeddings")
+def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _embeddings(spark, sf_dir)
+    return rows.select("vec_id", F.size("embedding").alias("dim"), F.round(F.get(vectors.normalize(F.col("embedding")), F.lit(0)), 5).alias("x"))
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity({_E}, {_LIST}), 5) AS score FROM embeddings ORDER BY list_cosine_similarity({_E}, {_LIST}) DESC, vec_id LIMIT 10")
+def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(load(spark, sf_dir, "embeddings"), "embedding", _ONES, 10, "vec_id").select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH a AS (SELECT vec_id, list_distance({_E}, {_LIST}) AS distance FROM embeddings WHERE vec_id < 300), k AS (SELECT doc_id AS vec_id, 1.0 AS keyword FROM documents WHERE contains(text, 'license')) SELECT vec_id, round(0.6 * coalesce(1 - distance / greatest(distance, 1.0), 0) + 0.4 * coalesce(keyword, 0), 5) AS score FROM a FULL JOIN k USING (vec_id)")
+def vec_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _embeddings(spark, sf_dir)
+    near = rows.where("vec_id < 300").select("vec_id", vectors.l2_distance(F.col("embedding"), q).alias("distance"))
+    words = load(spark, sf_dir, "documents").where(F.col("text").contains("license")).select(F.col("doc_id").alias("vec_id"), F.lit(1.0).alias("keyword"))
+    return vectors.hybrid(near, words, "vec_id", 0.6).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("SELECT vec_id, CAST(floor((CAST(embedding[3] AS DOUBLE) - lo) / (hi - lo) * 255) AS INTEGER) AS code FROM embeddings CROSS JOIN (SELECT min(CAST(embedding[3] AS DOUBLE)) AS lo, max(CAST(embedding[3] AS DOUBLE)) AS hi FROM embeddings)")
+def vec_quantize8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.quantize8(load(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.get("codes", F.lit(2)).alias("code"))
+
+
+# --- merges and constraints
+def _accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return old, old.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 6).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(1.5).alias("c_acctbal"))
+
+
+_NEW = "n AS (SELECT c_custkey + 6 AS c_custkey, 'new' AS c_name, CAST(1.5 AS DOUBLE) AS c_acctbal FROM customer WHERE c_custkey % 3 = 0), o AS (SELECT c_custkey, c_name, c_acctbal FROM customer)"
+
+
+@query(f"WITH {_NEW} SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n")
+def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.upsert_replace(*_accounts(spark, sf_dir), ["c_custkey"])
+
+
+@query(f"WITH {_NEW} SELECT * FROM o UNION ALL SELECT * FROM n WHERE c_custkey NOT IN (SELECT c_custkey FROM o)")
+def upsert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.upsert_ignore(*_accounts(spark, sf_dir), ["c_custkey"])
+
+
+@query(f"WITH {_NEW} SELECT c_custkey, coalesce(o.c_name, n.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM o FULL JOIN n USING (c_custkey)")
+def upsert_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.upsert_update(*_accounts(spark, sf_dir), ["c_custkey"], ["c_acctbal"])
+
+
+@query(f"WITH {_NEW} SELECT c_custkey, coalesce(o.c_name, n.c_name) AS c_name, CASE WHEN o.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN o.c_acctbal + n.c_acctbal ELSE coalesce(o.c_acctbal, n.c_acctbal) END AS c_acctbal FROM o FULL JOIN n USING (c_custkey) WHERE NOT coalesce(n.c_custkey IS NOT NULL AND o.c_acctbal < 0, false)")
+def merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _accounts(spark, sf_dir)
+    return relational.merge(old, new, ["c_custkey"], {"c_acctbal": F.col("c_acctbal") + F.col("src_c_acctbal")}, F.col("c_acctbal") < 0)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.update_rows(load(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), F.col("s_acctbal") < 0, {"s_acctbal": F.lit(0.0)})
+
+
+@query("SELECT s_suppkey FROM supplier WHERE NOT s_nationkey IN (3, 4)")
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.delete_rows(load(spark, sf_dir, "supplier"), F.col("s_nationkey").isin(3, 4)).select("s_suppkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT (c_acctbal >= 0)")
+def check_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.check_violations(load(spark, sf_dir, "customer"), F.col("c_acctbal") >= 0).select("c_custkey")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.foreign_key_violations(load(spark, sf_dir, "labels"), "doc_id", load(spark, sf_dir, "embeddings"), "vec_id").select("doc_id")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.unique_violations(load(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey < 10 AND c_acctbal > 0")
+def rls_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policies = [(None, F.col("c_nationkey") < 10), ("analyst", F.col("c_acctbal") > 0), ("auditor", F.lit(False))]
+    return tables.secured(load(spark, sf_dir, "customer"), policies, "analyst").select("c_custkey")
+
+
+@query("SELECT c_custkey, '****' AS a, repeat('*', length(c_name) - 4) || right(c_name, 4) AS b, sha256(c_name) AS c FROM customer")
+def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_name")
+    return load(spark, sf_dir, "customer").select("c_custkey", tables.masked(n, "full").alias("a"), tables.masked(n, "partial").alias("b"), tables.masked(n, "hash").alias("c"))
+
+
+# --- streams, on their final state
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.follow(spark, f"{sf_dir}/events.parquet", load(spark, sf_dir, "events").schema)
+
+
+@query("SELECT event_type, round(sum(value), 2) AS total, count(value) AS n FROM events GROUP BY event_type")
+def stream_running_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.running_totals(_events(spark, sf_dir), ["event_type"], "value").select("event_type", F.round("total", 2).alias("total"), "n")
+
+
+@query("SELECT user_id, event_id, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_id % 5 <> 0")
+def stream_cdc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = _events(spark, sf_dir).select("user_id", "event_id", "value", F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update").alias("op"))
+    return feeds.replicate(changes, "user_id", "event_id", "op").select("user_id", "event_id", F.round("value", 4).alias("value"))
+
+
+@query("SELECT event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY event_type")
+def stream_mv_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.refresh_view(_events(spark, sf_dir), ["event_type"], "value").select("event_type", F.round("total", 2).alias("total"), "n")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.windowed_totals(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 day", ["event_type"], "value").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.round("total", 2).alias("total"), "n")
