@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -24,5 +26,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Has texts go to Python workers in small Arrow batches: what waits on either side stays a few megabytes, and at most BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -71,7 +71,7 @@ class WordIds:
 
     def _learn(self, new: set[str]) -> None:
         # a closing mark after a letter or digit is always a pre-token of its own, so the word before it is encoded alone
-        ended = [w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].isalnum() and SPECIAL not in w]
+        ended = [w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].lower()[-1].isalnum() and SPECIAL not in w]
         before, marks = [w[:-1] for w in ended], [w[-1] for w in ended]
         plain = list(new.difference(ended).union(before, marks).difference(self.index))
         for at in range(0, len(plain), 10_000):
