@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from brindle.llm.cluster import settle, small_side
+from brindle.llm.cluster import settle, short_batches, small_side
 from brindle.llm.jaccard import jaccard_groups
 from brindle.llm.mixing import mix_sources
 from brindle.llm.packing import pack_documents
@@ -24,12 +24,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score of 0.3 at least)."""
+    short_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_scores(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group that five-word shingles link at 0.8 or more; of repeated rows, one."""
+    short_batches(spark)
     groups = jaccard_groups(docs).where("n_shingles > 0")
     best = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("best"))
     left = groups.join(best, groups["component_id"].eqNullSafe(best["component_id"])).where(~F.struct("doc_id", "th").eqNullSafe(F.col("best")))
@@ -46,6 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of 50 words or more that an earlier document has; texts with nothing left go."""
+    short_batches(spark)
     cut = remove_repeats(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.where("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
@@ -59,7 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=250_000)
+    short_batches(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=120_000)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeated_spans", repeated_spans), ("mixing", mixing), ("packing", packing)]
