@@ -53,7 +53,8 @@ class TemplateSet:
             data, offsets = buffers(pa.array([text]))
             gram, check = gram_hashes(Words(data, offsets, ALNUM))[2:]
             rows += [(i, label, exact, len(gram), t, g, c) for t, (g, c) in enumerate(zip(gram.view(np.int64).tolist(), check.view(np.int64).tolist(), strict=True))]
-        return spark.createDataFrame(rows, "template int, label string, exact boolean, n_grams int, at int, gram long, check long")
+        kinds = {"template": pa.int32(), "label": pa.string(), "exact": pa.bool_(), "n_grams": pa.int32(), "at": pa.int32(), "gram": pa.int64(), "check": pa.int64()}
+        return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds)))
 
 
 def gram_hashes(words: Words) -> tuple[np.ndarray, ...]:

@@ -8,9 +8,9 @@ position at which the document is due. Documents are range-sorted by it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .cluster import table
 
@@ -61,8 +61,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     sized = docs.select(*own, words(F.col("text").cast("string")).alias("__size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("__hash"))
     totals = sized.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()
     buckets = max(1, -(-sum(r["n"] for r in totals) // ROWS_PER_BUCKET)) * 4
-    schema = T.StructType([T.StructField("__source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("slope", T.DoubleType())])
-    plan = docs.sparkSession.createDataFrame(targets([(r["source"], r["size"]) for r in totals], weights, share, passes), schema)
+    # an Arrow table, which the driver's JVM reads without Python workers
+    made = targets([(r["source"], r["size"]) for r in totals], weights, share, passes)
+    columns = [pa.array([t[i] for t in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64()))]
+    plan = docs.sparkSession.createDataFrame(pa.table(columns, names=["__source", "source_size", "target", "slope"]))
     bucketed = sized.withColumn("__bucket", F.floor((F.col("__hash") / F.lit(2.0**64) + 0.5) * buckets))
     # where each bucket of a source begins in that source's stream: a running sum over sums, not over documents
     sums = bucketed.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum"))

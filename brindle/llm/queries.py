@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import op6_chat_format
+from .chat import Template, op6_chat_format
 from .jaccard import op5_jaccard_join
 from .licenses import op4_license_scan
 from .media import op2_media_gif
@@ -30,4 +30,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _escaped(column: str) -> str:
+    """The template's escapes, as nested replacements."""
+    sql = f"replace({column}, '\\', '\\b')"
+    for c in Template().control:
+        sql = f"replace({sql}, '{c}', '{'\\l' if c[0] == '<' else '\\s'}{c[1:]}')"
+    return sql
+
+
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, b in Template().moves)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, s, sha256(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w)),
+f AS (SELECT h, min(doc_id) AS d FROM g GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM g JOIN f USING (h) WHERE d < doc_id),
+k AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op5_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON a = doc_id GROUP BY doc_id""",
+    "op6_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+p AS (SELECT *, coalesce(lag(role) OVER w, 'start') AS state, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+CAST(sum({len(Template().open) + len(Template().close) + len(Template().end)} + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars,
+bool_and((state, role) IN ({_MOVES}) AND (i < n OR role = 'assistant')) AS valid FROM p GROUP BY conv_id""",
+}
