@@ -73,3 +73,14 @@ def expand_synonyms(words: list[str], synonyms: dict[str, list[str]]) -> list[st
 
 def facets(df: DataFrame, field: str, n: int) -> DataFrame:
     return df.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
+
+
+def without_stop_words(bag: Column, stop_words: list[str]) -> Column:
+    """The tokens that are no stop words, repeats kept."""
+    return F.filter(bag, lambda t: ~t.isin(*stop_words))
+
+
+def reindex(index: DataFrame, changed: DataFrame, gone: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """postings() after changes: those of changed and deleted rows leave, those of changed rows come anew."""
+    stale = changed.select(F.col(id_column).alias("doc")).union(gone.select(F.col(id_column).alias("doc"))).distinct()
+    return index.join(stale, "doc", "left_anti").unionByName(postings(changed, id_column, *columns))

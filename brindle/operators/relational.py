@@ -153,3 +153,36 @@ def running(df: DataFrame, partition: list[str], order: list[Column]) -> WindowS
 def sql_rows(spark: SparkSession, sql: str, *args: object) -> DataFrame:
     """A statement with ? placeholders."""
     return spark.sql(sql, args=list(args))
+
+
+def keyset_page(df: DataFrame, key: str, after: object, n: int) -> DataFrame:
+    """The n rows that follow a key; the filter reaches the scan, so pages cost the same however far in they are."""
+    return df.where(F.col(key) > F.lit(after)).orderBy(key).limit(n)
+
+
+def delete_returning(df: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """(the rows left, the rows that went)."""
+    return delete_rows(df, where), df.where(where)
+
+
+def cascade_delete(child: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of child without those that refer to a deleted parent row."""
+    return child.join(gone.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
+
+
+def set_null_on_delete(child: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
+    """child, where references to deleted parent rows are null."""
+    lost = gone.select(F.col(key).alias("__key")).distinct()
+    kept = F.when(F.col("__key").isNull(), F.col(column)).alias(column)
+    return child.join(lost, F.col(column) == F.col("__key"), "left").select(*[kept if c == column else F.col(c) for c in child.columns])
+
+
+def partial_aggregate(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mergeable states of count, sum, least and greatest value."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def merge_partials(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The states of several shards as one, with the average."""
+    made = states.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return made.withColumn("mean", F.try_divide("total", "n"))

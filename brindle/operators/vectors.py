@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,29 @@ def quantize8(df: DataFrame, column: str, dimensions: int, name: str = "codes")
     bounds = bounds.select(F.array(*[f"lo{i}" for i in range(dimensions)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dimensions)]).alias("hi"))
     scaled = F.zip_with(F.zip_with(column, "lo", lambda v, lo: v.cast("double") - lo), F.zip_with("hi", "lo", lambda hi, lo: hi - lo), lambda v, w: F.when(w == 0, 0).otherwise(F.floor(F.try_divide(v, w) * 255)).cast("int"))
     return df.join(F.broadcast(bounds)).withColumn(name, scaled).drop("lo", "hi")  # bounds is one row
+
+
+def quantize4(df: DataFrame, column: str, dimensions: int, name: str = "codes") -> DataFrame:
+    """As quantize8, times 15, and two codes to a byte (the first in the lower half; an odd last one alone)."""
+    held = df.select("*", F.col(column).alias("__v"))
+    bounds = df.agg(*[f(F.get(column, F.lit(i)).cast("double")).alias(f"{n}{i}") for i in range(dimensions) for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def code(i: int) -> Column:
+        v, lo, hi = F.get("__v", F.lit(i)).cast("double"), F.col(f"lo{i}"), F.col(f"hi{i}")
+        return F.when(hi == lo, 0).otherwise(F.floor(F.try_divide(v - lo, hi - lo) * 15)).cast("int")
+
+    pairs = [code(i) + (code(i + 1) * 16 if i + 1 < dimensions else F.lit(0)) for i in range(0, dimensions, 2)]
+    return held.join(F.broadcast(bounds)).select(*df.columns, F.array(*pairs).alias(name))  # bounds is one row
+
+
+def search_many(df: DataFrame, column: str, queries: DataFrame, k: int, id_column: str, metric: str = "cosine", blocks: int = 8) -> DataFrame:
+    """(query_id, id, score, rank) of the k rows nearest to each of a stated set of queries (query_id, query), exactly.
+
+    Rows are dealt to blocks, each keeps its own k for a query, and those of all blocks are ranked.
+    """
+    held = df.select(id_column, F.col(column).alias("__v"), F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("__block"))
+    asked = queries.select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    scored = held.join(asked, "__block").select("__block", "query_id", id_column, similarity(F.col("__v"), F.col("query"), metric).alias("score"))
+    order = [F.desc("score"), F.asc(id_column)]
+    some = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "__block").orderBy(*order))).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("__block")

@@ -553,3 +553,213 @@ def stream_mv_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.windowed_totals(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 day", ["event_type"], "value").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.round("total", 2).alias("total"), "n")
+
+
+# --- tables in and out, changes of tables
+def _saved(spark: SparkSession, df: DataFrame, kind: str, by: tuple[str, ...] = ()) -> DataFrame:
+    import uuid
+
+    path = f"{tables.shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    tables.dump(df, path, kind, by)
+    return tables.restore(spark, path, df.schema, kind)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderkey < 2000")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, load(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", "o_totalprice", "o_orderdate"), "json")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "orc")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def partition_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, load(spark, sf_dir, "orders"), "parquet", ("o_orderstatus",)).where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(tables.NAMES)) + ") AS t(name)")
+def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark, sf_dir, " ".join(tables.NAMES))
+    return spark.sql("SHOW TABLES").where(F.col("isTemporary") & F.col("tableName").isin(*tables.NAMES)).select(F.col("tableName").alias("name")).orderBy("name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'ATLANTIS' UNION ALL SELECT r_regionkey + 200, r_name FROM region")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark, sf_dir, "nation region")
+    made = spark.sql("SELECT n_nationkey, n_name FROM nation").union(spark.createDataFrame([(100, "ATLANTIS")], "a int, b string"))
+    return made.union(spark.sql("SELECT r_regionkey + 200, r_name FROM region"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(max(c_acctbal), 2) AS top FROM customer GROUP BY c_mktsegment")
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark, sf_dir, "customer")
+    return _saved(spark, spark.sql("SELECT c_mktsegment, count(*) AS n, round(max(c_acctbal), 2) AS top FROM customer GROUP BY c_mktsegment"), "parquet")
+
+
+@query("SELECT s_suppkey AS id, s_name, 'x' AS added FROM supplier")
+def alter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "supplier").withColumn("added", F.lit("x")).drop("s_nationkey", "s_acctbal").withColumnRenamed("s_suppkey", "id")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0")
+def delete_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.delete_returning(load(spark, sf_dir, "supplier"), F.col("s_acctbal") < 0)[1].select("s_suppkey", "s_acctbal")
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def fk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = load(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return relational.cascade_delete(load(spark, sf_dir, "supplier"), "s_nationkey", gone, "n_nationkey").select("s_suppkey", "s_nationkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN s_nationkey END AS s_nationkey FROM supplier")
+def fk_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = load(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return relational.set_null_on_delete(load(spark, sf_dir, "supplier"), "s_nationkey", gone, "n_nationkey").select("s_suppkey", "s_nationkey")
+
+
+@query("SELECT 'j***@example.org' AS a, '***-***-4567' AS b, '***' AS c")
+def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = spark.sql("SELECT 'jane@example.org' AS mail, '555-123-4567' AS phone, 'abc' AS short")
+    return row.select(tables.masked(F.col("mail"), "email").alias("a"), tables.masked(F.col("phone"), "phone").alias("b"), tables.masked(F.col("short"), "partial").alias("c"))
+
+
+# --- more predicates, joins, aggregates and pages
+both("select_star", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+both("pred_like_escape", "SELECT n_nationkey, n_name || '_x' LIKE '%!_x' ESCAPE '!' AS a, n_name LIKE '%!_%' ESCAPE '!' AS b FROM nation")
+both("pred_not_regexp", "SELECT p_partkey FROM part WHERE NOT regexp_like(p_brand, '[12]$')", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand, '[12]$')")
+both("pred_null_safe_join", "SELECT count(*) AS n FROM (SELECT NULLIF(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT NULLIF(r_regionkey, 2) AS k FROM region) b ON a.k <=> b.k", "SELECT count(*) AS n FROM (SELECT NULLIF(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT NULLIF(r_regionkey, 2) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
+both("array_member", "SELECT p_partkey FROM part WHERE array_contains(array(1, 7, 9), p_size)", "SELECT p_partkey FROM part WHERE list_contains([1, 7, 9], p_size)")
+both("interval_arithmetic", "SELECT o_orderkey, o_orderdate + INTERVAL '3' DAY AS a, o_orderdate - INTERVAL '2' MONTH AS b FROM orders")
+both("collate_no_case", "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE UTF8_LCASE = 'building'", "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'")
+both("typed_literals", "SELECT n_nationkey, DATE '2024-02-29' AS a, TIMESTAMP '2024-02-29 01:02:03' AS b, X'4142' = CAST('AB' AS BINARY) AS c FROM nation", "SELECT n_nationkey, DATE '2024-02-29' AS a, TIMESTAMP '2024-02-29 01:02:03' AS b, true AS c FROM nation")
+both("join_left_theta", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a LEFT JOIN region b ON a.n_regionkey > b.r_regionkey AND b.r_regionkey > 2")
+both("anti_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+both("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+both("agg_statistics", "SELECT o_orderstatus, round(stddev_samp(o_totalprice), 4) AS s, round(var_pop(o_totalprice) / 1e6, 4) AS v, round(percentile(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(stddev_samp(o_totalprice), 4) AS s, round(var_pop(o_totalprice) / 1e6, 4) AS v, round(quantile_cont(o_totalprice, 0.5), 4) AS m FROM orders GROUP BY o_orderstatus")
+both("agg_in_case", "SELECT o_custkey, CASE WHEN count(*) > 10 THEN 'many' ELSE CAST(count(*) AS STRING) END AS k FROM orders GROUP BY o_custkey", "SELECT o_custkey, CASE WHEN count(*) > 10 THEN 'many' ELSE CAST(count(*) AS VARCHAR) END AS k FROM orders GROUP BY o_custkey")
+both("union_cte", "WITH a AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0), b AS (SELECT k + 1 AS k FROM a) SELECT k FROM a UNION SELECT k FROM b")
+both("win_share", "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 7) AS share FROM orders")
+
+
+@query("SELECT k, n, r FROM (SELECT n_regionkey AS k, n_name AS n FROM nation) LEFT JOIN (SELECT r_regionkey AS k, r_name AS r FROM region WHERE r_regionkey > 2) USING (k)")
+def join_natural_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("n"))
+    return relational.natural_join(left, load(spark, sf_dir, "region").where("r_regionkey > 2").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("r")), "left")
+
+
+@query("SELECT o_orderstatus, count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_orderstatus")
+def agg_merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    shards = [relational.partial_aggregate(orders.where(f"o_orderkey % 2 = {i}"), ["o_orderstatus"], "o_totalprice") for i in range(2)]
+    return relational.merge_partials(shards[0].unionByName(shards[1]), ["o_orderstatus"]).select("o_orderstatus", "n", F.round("mean", 6).alias("mean"), "lo", "hi")
+
+
+@query(None)
+def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 50")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.keyset_page(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 700, 50)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey < 9")
+def execute_immediate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark, sf_dir, "customer")
+    return spark.sql("EXECUTE IMMEDIATE 'SELECT c_custkey FROM customer WHERE c_mktsegment = ? AND c_nationkey < ?' USING 'MACHINERY', 9")
+
+
+# --- more scalar functions
+both("fn_documented_more", "SELECT n_nationkey, if(n_regionkey = 1, 'one', 'other') AS a, soundex('Robert') AS b, degrees(radians(90.0D)) AS c, mod(n_nationkey, 4) AS d, CAST(char_length(n_name) AS INT) AS e, concat(n_name, '!') AS f, hex('AB') AS g, n_name RLIKE '^A.*A$' AS h FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'one' ELSE 'other' END AS a, 'R163' AS b, degrees(radians(90.0)) AS c, n_nationkey % 4 AS d, CAST(length(n_name) AS INT) AS e, concat(n_name, '!') AS f, hex('AB') AS g, n_name GLOB 'A*A' AS h FROM nation")
+both("fn_dates_more", "SELECT o_orderkey, date_add(CAST(o_orderdate AS DATE), 10) AS a, date_sub(CAST(o_orderdate AS DATE), 5) AS b, unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS c, make_date(year(o_orderdate), 1, 1) AS d FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 10 AS a, CAST(o_orderdate AS DATE) - 5 AS b, CAST(epoch(o_orderdate) AS BIGINT) AS c, make_date(year(o_orderdate), 1, 1) AS d FROM orders")
+
+
+@query("SELECT * FROM (VALUES ('{\"a\":1,\"b\":2}', 'a,b', 0), ('[\"x\",\"y\"]', '', 1), ('7', '', NULL)) AS t(doc, ks, has_x)")
+def json_keys_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([('{"a":1,"b":2}',), ('["x","y"]',), ("7",)], "doc string")
+    has = F.when(S.json_type(F.col("doc")) == "ARRAY", S.json_contains(F.col("doc"), "x")).when(S.json_type(F.col("doc")) == "OBJECT", 0)
+    return docs.select("doc", F.array_join(S.json_keys(F.col("doc")), ",").alias("ks"), has.alias("has_x"))
+
+
+@query("SELECT n_nationkey, '\"' || n_name || '\"' AS q, n_name AS u FROM nation")
+def json_quote_unquote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = S.json_quote(F.col("n_name"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", q.alias("q"), S.json_unquote(q).alias("u"))
+
+
+@query(None)
+def fn_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.xxhash64(F.rand()).alias("r"))
+
+
+# --- more full text and vectors
+_STOP = ["the", "and", "of"]
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda t: t NOT IN ('the', 'and', 'of'))) AS BIGINT) AS n FROM documents")
+def fts_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(fulltext.without_stop_words(fulltext.tokens(F.col("text")), _STOP)).cast("long").alias("n"))
+
+
+@query("SELECT doc, token, count(*) AS tf FROM (SELECT item_id AS doc, unnest(" + _TOKENS.replace("(text)", "(CASE WHEN item_id % 3 = 1 THEN 'changed ' || text ELSE text END)") + ") AS token FROM benchmark WHERE item_id % 3 <> 2) GROUP BY 1, 2")
+def fts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    changed = items.where("item_id % 3 = 1").withColumn("text", F.concat(F.lit("changed "), "text"))
+    return fulltext.reindex(fulltext.postings(items, "item_id", "text"), changed, items.where("item_id % 3 = 2"), "item_id", "text").select("doc", "token", "tf")
+
+
+@query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.replace('(text)', "(concat_ws(' ', source, lang, text))")}) AS token FROM documents) GROUP BY token")
+def fts_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.postings(load(spark, sf_dir, "documents"), "doc_id", "source", "lang", "text").groupBy("token").agg(F.count("*").alias("df"))
+
+
+@query("SELECT 3 AS dim, 2.5 AS second, 5.0 AS size")
+def vec_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.parse(F.lit("[0, 2.5, -4.330127]"))
+    return spark.range(1).select(F.size(v).alias("dim"), F.get(v, F.lit(1)).cast("double").alias("second"), F.round(vectors.norm(v), 4).alias("size"))
+
+
+@query(f"SELECT vec_id, round(1 / (1 + list_distance({_E}, {_LIST})), 5) AS s FROM embeddings")
+def vec_similarity_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _embeddings(spark, sf_dir)
+    return rows.select("vec_id", F.round(vectors.similarity(F.col("embedding"), q, "l2"), 5).alias("s"))
+
+
+@query(f"WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS score FROM e JOIN e q ON q.vec_id < 4), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM r WHERE rank <= 5")
+def vec_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.search_many(rows, "embedding", queries, 5, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
+def _four(i: int) -> str:
+    v = f"CAST(embedding[{i}] AS DOUBLE)"
+    return f"CAST(floor(({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ()) * 15) AS INTEGER)"
+
+
+@query(f"SELECT vec_id, {_four(3)} + 16 * {_four(4)} AS code FROM embeddings")
+def vec_quantize4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.quantize4(load(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.get("codes", F.lit(1)).alias("code"))
+
+
+# --- more streams
+@query("SELECT event_id, user_id, round(value + 10, 4) AS v FROM events WHERE value > 50")
+def stream_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.appended(_events(spark, sf_dir).where("value > 50").select("event_id", "user_id", F.round(F.col("value") + 10, 4).alias("v")))
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 5")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    days = feeds.windowed_totals(stream, "ts", "1 day", "1 day", [], "value")
+    return days.where("n > 5").select(F.col("window_start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query("SELECT user_id, event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = relational.running(load(spark, sf_dir, "events"), ["user_id"], [F.asc("ts"), F.asc("event_id")])
+    return load(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.sum("value").over(by), 4).alias("total"), F.count("*").over(by).alias("n"))

@@ -57,6 +57,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("multiLine", True).csv(path)
 
 
+def dump(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """A copy of a table as Parquet, JSON or ORC, in one folder for each value of `by`, which filters on these columns then prune."""
+    df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
+
+
+def restore(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet") -> DataFrame:
+    """What dump() wrote."""
+    return spark.read.schema(schema).format(kind).load(path)
+
+
 def secured(df: DataFrame, policies: list[tuple[str | None, Column]], role: str) -> DataFrame:
     """Rows that every policy admits whose role is `role` or that has none."""
     for of, admits in policies:

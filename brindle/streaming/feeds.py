@@ -83,3 +83,11 @@ def refresh_view(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{place}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(versions[-1])
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """What a stateless stream (filters, projections, maps) gives, as a table in the shared folder."""
+    spark = stream.sparkSession
+    place = _place(spark, "rows")
+    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
