@@ -146,7 +146,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "v
     for r in entries.groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # as many rows as cells
         counts[r["a"], r["b"]] = r["n"]
     index = MultiIndex(index.left, index.right, counts, max(index.visit, k + 1 + int(counts.max())))
-    splits = max(1, -(-total // (BLOCK * len(index.left))))  # of a centroid's entries
+    splits = np.maximum(1, -(-counts.sum(1) // BLOCK)).tolist()  # of each left centroid's entries, however many it holds
     parts = max(1, -(-total // (BLOCK * every)))  # of the queries
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +157,16 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "v
             for i, key in enumerate(batch.column("vec_id").to_pylist()):
                 mask = index.probe(x[i])
                 hit = np.flatnonzero(mask.any(1))
-                n = len(hit) * splits
+                spots = [(int(a), s) for a in hit for s in range(splits[a])]
+                n = len(spots)
                 yield pa.record_batch(
-                    [pa.array([key] * n, pa.int64()), pa.array([x[i]] * n, pa.list_(pa.float64())), pa.array([np.packbits(mask[a]).tobytes() for a in hit for _ in range(splits)], pa.binary()), pa.array([int(a) for a in hit for _ in range(splits)], pa.int32()), pa.array(list(range(splits)) * len(hit), pa.int32()), pa.array([key // every % parts] * n, pa.int32())],
+                    [pa.array([key] * n, pa.int64()), pa.array([x[i]] * n, pa.list_(pa.float64())), pa.array([np.packbits(mask[a]).tobytes() for a, _ in spots], pa.binary()), pa.array([a for a, _ in spots], pa.int32()), pa.array([s for _, s in spots], pa.int32()), pa.array([key // every % parts] * n, pa.int32())],
                     ["query_id", "q", "mask", "a", "split", "part"],
                 )
 
     asked = entries.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, mask binary, a int, split int, part int")
-    held = entries.withColumn("split", F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    of_centroid = F.get(F.array(*[F.lit(n) for n in splits]), F.col("a"))
+    held = entries.withColumn("split", F.pmod(F.xxhash64("vec_id"), of_centroid).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     width = len(index.right)
 
     def rerank(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
