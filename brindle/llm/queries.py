@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import Template, op6_chat_format
 from .jaccard import op5_jaccard_join
-from .licenses import op4_license_scan
+from .licenses import COVERAGE, GRAM, NEAR, TemplateSet, op4_license_scan
 from .media import op2_media_gif
 from .mixing import op9_mixing
 from .neighbours import op8_neighbours
@@ -43,6 +43,8 @@ def _escaped(column: str) -> str:
 
 _MOVES = ", ".join(f"('{a}', '{b}')" for a, b in Template().moves)
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {exact}, string_split('{text}', ' '))" for i, (label, text, exact) in enumerate(TemplateSet().items))
+
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, s, sha256(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w)),
@@ -50,6 +52,18 @@ f AS (SELECT h, min(doc_id) AS d FROM g GROUP BY h),
 r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM g JOIN f USING (h) WHERE d < doc_id),
 k AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op4_license_scan": f"""WITH w AS (SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t(template, label, exact, ws) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT template, label, exact, len(ws) - {GRAM - 1} AS n_grams, i - 1 AS pos, array_to_string(ws[i:i + {GRAM - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {GRAM - 2})) AS i FROM t)),
+dg AS (SELECT key, i - 1 AS place, array_to_string(ws[i:i + {GRAM - 1}], ' ') AS g FROM (SELECT key, ws, unnest(range(1, len(ws) - {GRAM - 2})) AS i FROM w)),
+h AS (SELECT DISTINCT key, template, label, exact, n_grams, place - pos AS diagonal, pos FROM dg JOIN tg USING (g)),
+d AS (SELECT DISTINCT key, template, exact, diagonal FROM h),
+f AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER x > {NEAR}, true) THEN 1 ELSE 0 END AS fresh FROM d WINDOW x AS (PARTITION BY key, template ORDER BY diagonal)),
+m AS (SELECT key, template, diagonal, sum(fresh) OVER (PARTITION BY key, template ORDER BY diagonal) AS span FROM f),
+s AS (SELECT key, template, span, any_value(label) AS label, any_value(exact) AS exact, min(diagonal) AS first, max(diagonal) AS last, count(DISTINCT pos) / any_value(n_grams) AS coverage FROM h JOIN m USING (key, template, diagonal) GROUP BY ALL),
+v AS (SELECT * FROM s WHERE coverage >= CASE WHEN exact THEN 1 ELSE {COVERAGE} END)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(CASE WHEN exact THEN 1 END) AS n_base, CAST(min(CASE WHEN exact THEN first END) AS BIGINT) AS first_word, CAST(max(CASE WHEN exact THEN last END) AS BIGINT) AS last_word,
+coalesce(string_agg(DISTINCT CASE WHEN exact THEN label END, ',' ORDER BY CASE WHEN exact THEN label END), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0.0) AS score FROM w LEFT JOIN v USING (key) GROUP BY key""",
     "op5_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
