@@ -5,12 +5,11 @@ rising frequency; two classes that link share a column among the first
 n - ceil(t n) + 1 of either (the prefix), so only prefix columns with two or
 more classes are multiplied. A hit gives an upper bound of the overlap from
 both sizes and places; pairs below the overlap that their sizes ask for are
-discarded, and the rest is multiplied out over whole rows, in blocks.
+discarded, and every other one is verified over whole rows, in blocks.
 
-Narrow columns give all their pairs, wide ones a star around a hub each. What
-a wide column's commonest component then leaves outside is multiplied with
-that component in square blocks, so no link between components is lost, and
-groups of copies cost rows in proportion to their size.
+Narrow columns give their pairs by a join, wide ones by square blocks of their
+classes. All pairs that bitmaps leave are verified, so all links between
+classes are found; in a group of near copies they are as many as its pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +36,8 @@ NARROW, BLOCK = 48, 500
 PART_ROWS = 20_000
 #: Frequent columns that get a place of their own at the end of the order, and shingles counted at once.
 FREQUENT, COUNTED = 100_000, 1 << 21
+#: Pairs for each row of a block from which they are multiplied out together, and columns that are multiplied at once.
+DENSE, COLUMNS = 32, 8192
 SEED = 23
 #: Bytes of a hash in a row that travels to be multiplied, and bits of the bitmaps that pairs are first tried on.
 ROW_BYTES, BITS = 5, 4096
@@ -171,8 +172,8 @@ def _links(o: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fra
 
 
 def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, links, labels): a settled row (doc_id, th, c, n) for each row of docs; links (a, b) between classes that connect
-    all that link, so that between any two linked classes there is a path of links; and components (node, label) of these."""
+    """(classes, links, labels): a settled row (doc_id, th, c, n) for each row of docs; all links (a, b), a < b, between different
+    classes, each once; and components (node, label) of these."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     classes = settle(_sets(docs, n))
@@ -190,8 +191,6 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
 
     narrow, large = postings.where(F.col("width") <= NARROW), postings.where(F.col("width") > NARROW)
     pairs = narrow.alias("a").join(narrow.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") < F.col("b.c")) & may_link("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    hubs = large.groupBy("gram").agg(F.min_by("c", F.xxhash64("c", "gram")).alias("hub"))
-    stars = large.join(hubs, "gram").where("c <> hub").select(F.greatest("c", "hub").alias("a"), F.least("c", "hub").alias("b")).distinct()
 
     def described(needed: DataFrame, name: str, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
         """(c, name) for the classes that a product needs; name is what `describe` makes of their shingles."""
@@ -226,75 +225,102 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
     def may_reach(x: bytes, y: bytes) -> bool:
         return _bitmaps_may_link(x, y, t)
 
-    def link(x: bytes, y: bytes) -> bool:
-        return bool(_links(_overlap(_row(x), _row(y)), len(x) // ROW_BYTES, len(y) // ROW_BYTES, t))
-
-    candidates = matched(small(pairs.union(stars).distinct()), "bits", _bitmap, may_reach)
-    # one pair of each class first; then only pairs between what that has not connected
-    first = candidates.groupBy("a").agg(F.min("b").alias("b")).union(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
-    links = matched(small(first), "grams", _row_bytes, link)
-    labels = components(links)
-    la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-    apart = candidates.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    rest = small(apart.join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(matched(rest, "grams", _row_bytes, link))
-        labels = components(links)
-    if large.isEmpty():
-        return classes, links, labels
-
-    # what wide columns' commonest components leave outside
-    marked = large.join(labels, large["c"] == labels["node"], "left").select("gram", "c", F.coalesce("label", "c").alias("label"))
-    main = marked.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    marked = marked.join(main, "gram")
-    outside = small(marked.where("label <> main").select("main", "c", "label").distinct())
-    if outside.isEmpty():
-        return classes, links, labels
-    inside = marked.where("label = main").select("main", "c", "label").distinct().join(outside.select("main").distinct(), "main", "left_semi")
-    sizes = outside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")
-    held = described(outside.select("c").union(inside.select("c")), "grams", _row_bytes)
-    left = outside.join(sizes, "main").withColumn("i", tile)
-    count = inside.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    right = inside.join(count, "main").withColumn("j", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).select("main", "c", "label", "j")
-    # outside rows meet each tile of the inside (j >= 0) and each tile of the outside (j < 0)
-    both = left.select("main", "c", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), (-1 - F.col("i")).alias("j"))
-    spread = right.join(sizes, "main").select("main", "c", "label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), "j").union(both)
-    asked = left.join(count, "main", "left").select("main", "c", "label", "i", F.explode(F.sequence(-F.col("tiles"), F.coalesce("parts", F.lit(0)) - 1)).alias("j"))
-
-    def block(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        y = y.rename(columns=lambda c: c[2:])
-        if len(x) and len(y):
-            gx, gy = ([_row(g) for g in f["grams"]] for f in (x, y))
-            nx, ny = np.array([len(g) for g in gx]), np.array([len(g) for g in gy])
-            columns, at = np.unique(np.concatenate(gx), return_inverse=True)
-            left = np.zeros((len(gx), len(columns)), np.float32)
-            left[np.repeat(np.arange(len(gx)), nx), at] = 1
-            for i in range(0, len(gy), 64):
-                flat, row = np.concatenate(gy[i : i + 64]), np.repeat(np.arange(len(ny[i : i + 64])), ny[i : i + 64])
-                spot = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
-                hit = columns[spot] == flat
-                other = np.zeros((len(ny[i : i + 64]), len(columns)), np.float32)
-                other[row[hit], spot[hit]] = 1
-                o = np.rint(left @ other.T).astype(np.int64)
-                ok = _links(o, nx[:, None], ny[None, i : i + 64], t) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, i : i + 64])
-                out += [(int(x["c"].iloc[a]), int(y["c"].iloc[i + b])) for a, b in zip(*np.nonzero(ok), strict=True)]
-        made = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        # one link of a row and a component is enough to connect them
-        return made.merge(y[["c", "label"]].rename(columns={"c": "b"}), on="b").drop_duplicates(["a", "label"])[["a", "b"]] if len(made) else made
-
-    keys = ["main", "i", "j"]
-    # both sides come from the same tables, so one gets columns of its own
-    facing = spread.join(held, "c").select(*[F.col(x).alias(f"y_{x}") for x in (*keys, "c", "label", "grams")])
-    more = asked.join(held, "c").select(*keys, "c", "label", "grams").groupBy(*keys).cogroup(facing.groupBy(*[f"y_{x}" for x in keys])).applyInPandas(block, "a long, b long")
-    more = small(more)
-    if more.isEmpty():
-        return classes, links, labels
-    links = links.union(more)
+    candidates = matched(small(pairs), "bits", _bitmap, may_reach)
+    if not large.isEmpty():
+        candidates = candidates.union(_wide_pairs(large, described(large.select("c"), "bits", _bitmap), t)).distinct()
+    links = settle(_verified(small(candidates), described, t).coalesce(parts))
     return classes, links, components(links)
 
 
+def _tiled(df: DataFrame, tiles: str) -> DataFrame:
+    """Rows with a tile t, once for each block i <= j of two tiles that t is one of."""
+    spread = df.select("*", F.explode(F.sequence(F.lit(0), F.col(tiles) - 1)).alias("k"))
+    return spread.select("*", F.least("t", "k").alias("i"), F.greatest("t", "k").alias("j")).drop("k")
+
+
+def _tile(c: str, tiles: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.col(tiles)).cast("int")
+
+
+def _wide_pairs(large: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b), a < b, of classes that share a wide column and whose bitmaps may link: square blocks of each column's
+    classes, where a pair counts in the first wide column that both have only."""
+    owned = large.groupBy("c").agg(F.array_sort(F.collect_set("gram")).alias("wide"))
+    tiles = F.ceil(F.col("width") / BLOCK).cast("int")
+    rows = _tiled(large.select("gram", "c", tiles.alias("tiles")).withColumn("t", _tile("c", "tiles")), "tiles").join(owned, "c").join(bits, "c")
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        gram, i, j = key
+        x, y = rows[rows["t"] == i], rows[rows["t"] == j]
+        out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(x) or not len(y):
+            return out
+        sizes, on, earlier = [], [], []
+        columns = np.unique(np.concatenate([np.asarray(w, np.int64) for w in rows["wide"]]))
+        columns = columns[columns < gram]
+        for side in (x, y):
+            sizes.append(np.array([int.from_bytes(d[:4], "little") for d in side["bits"]]))
+            on.append(np.unpackbits(np.stack([np.frombuffer(d[4:], np.uint8) for d in side["bits"]]), axis=1).astype(np.float32))
+            earlier.append(np.stack([np.isin(columns, w) for w in side["wide"]]).astype(np.float32))
+        n, m = sizes[0][:, None], sizes[1][None, :]
+        apart = np.rint(on[0].sum(1)[:, None] + on[1].sum(1)[None, :] - 2 * (on[0] @ on[1].T)).astype(np.int64)
+        a, b = x["c"].to_numpy(), y["c"].to_numpy()
+        ok = _links(np.minimum(np.minimum(n, m), (n + m - apart) // 2), n, m, t) & (earlier[0] @ earlier[1].T == 0)
+        ok &= a[:, None] < b[None, :] if i == j else a[:, None] != b[None, :]
+        at, to = np.nonzero(ok)
+        return pd.DataFrame({"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to])})
+
+    return rows.select("gram", "i", "j", "c", "t", "wide", "bits").groupBy("gram", "i", "j").applyInPandas(block, "a long, b long")
+
+
+def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The overlap of each pair of rows (a, b): many pairs as a product over blocks of columns, few one by one."""
+    if len(a) <= DENSE * len(rows):
+        return np.array([_overlap(rows[i], rows[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    columns, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    at, row = shared[at[keep]], row[keep]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    total = np.zeros((len(rows), len(rows)), np.float32)
+    for first in range(0, int((times > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, [first, first + COLUMNS])
+        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part[row[lo:hi], at[lo:hi] - first] = 1
+        total += part @ part.T
+    return np.rint(total[a, b]).astype(np.int64)
+
+
+def _verified(candidates: DataFrame, described: Callable[..., DataFrame], t: Fraction) -> DataFrame:
+    """The candidates that link. Components of candidates are met in blocks: small ones several at a time, large ones by tiles,
+    so that a row travels once for each block and not for each pair."""
+    near = components(candidates)
+    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
+    held = 1 + near.count() // BLOCK
+    of = F.when(F.col("tiles") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(held)))
+    nodes = near.join(small_side(settle(sizes)), "label").select(F.col("node").alias("c"), (F.col("tiles") > 1).alias("large"), of.alias("part"), "tiles").withColumn("t", _tile("c", "tiles"))
+    nodes = settle(nodes)
+    side = small_side(nodes)
+    one = side.select(F.col("c").alias("a"), "large", "part", F.col("t").alias("ta"))
+    other = side.select(F.col("c").alias("b"), F.col("t").alias("tb"))
+    keys = ["large", "part", "i", "j"]
+    asked = candidates.join(one, "a").join(other, "b").select("a", "b", "large", "part", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"))
+    facing = _tiled(nodes, "tiles").join(described(nodes.select("c"), "grams", _row_bytes), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "grams")
+
+    def verify(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pairs[["a", "b"]]
+        place = pd.Index(rows["c"])
+        grams = [_row(g) for g in rows["grams"]]
+        n = np.array([len(g) for g in grams])
+        a, b = place.get_indexer(pairs["a"]), place.get_indexer(pairs["b"])
+        return pairs[_links(_overlaps(grams, a, b), n[a], n[b], t)][["a", "b"]]
+
+    return asked.groupBy(*keys).cogroup(facing.groupBy(*[f"y_{k}" for k in keys])).applyInPandas(verify, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """A row for each row of docs: doc_id, th (the text's xxhash64), n_shingles, component_id (the least doc_id that links reach).
 
@@ -312,6 +338,22 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIM
     return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def jaccard_degrees(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """A row for each row of docs: doc_id, th, n_shingles, n_links (the other rows that it links with, those of equal sets included)."""
+    classes, links, _ = jaccard_links(docs, n, similarity)
+    sizes = settle(classes.where("n > 0").groupBy("c").agg(F.count("*").alias("m")))
+    both = links.union(links.select("b", "a")).toDF("c", "to")
+    others = both.join(small_side(sizes).select(F.col("c").alias("to"), "m"), "to").groupBy("c").agg(F.sum("m").alias("others"))
+    counts = settle(sizes.join(others, "c", "left").select("c", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    return classes.join(small_side(counts), "c", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of links, which the columns of op5_jaccard_join have no place for."""
+    degrees = jaccard_degrees(table(spark, sf_dir, "documents", "doc_id", "text"), 4, Fraction(85, 100))
+    return degrees.select("doc_id", "n_links")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"), 4, Fraction(85, 100))
     return groups.select("doc_id", "n_shingles", "component_id")

@@ -202,6 +202,48 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
     assert bag(map(tuple, got)) == groups(rows, 4, Fraction(85, 100))
 
 
+@pytest.mark.parametrize("dense", [0, 10**6])
+def test_jaccard_overlaps(monkeypatch, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(-30, 30, rng.integers(1, 40))) for _ in range(20)] + [np.array([99])]
+    a, b = (x.ravel() for x in np.indices((21, 21)))
+    keep = a != b
+    a, b = a[keep], b[keep]
+    assert jaccard._overlaps(rows, a, b).tolist() == [len(set(rows[i]) & set(rows[j])) for i, j in zip(a, b, strict=True)]
+
+
+@pytest.mark.parametrize("narrow, block", [(48, 500), (4, 16), (2, 7)])
+def test_jaccard_links_are_all(spark, monkeypatch, narrow, block):
+    """Every link of groups of near copies, and each row's number of links, whatever column or block finds it."""
+    monkeypatch.setattr(jaccard, "NARROW", narrow)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for base in ([f"b{i}" for i in range(90)], [f"c{i}" for i in range(50)], [f"b{i}" for i in range(45)] + [f"d{i}" for i in range(45)]):
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, x) for i, x in enumerate((None, "", "two words", "two words"))]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)} - {()} for w in ((x or "").split() for _, x in rows)]
+
+    def linked(a, b):
+        return bool(a) and len(a & b) / len(a | b) >= 0.85
+
+    t = Fraction(85, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_degrees(df, 4, t).collect()}
+    assert got == {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    classes, links, _ = jaccard.jaccard_links(df, 4, t)
+    one = {r["c"]: sets[r["doc_id"]] for r in classes.where("n > 0").collect()}
+    want = {(a, b) for a in one for b in one if a < b and linked(one[a], one[b])}
+    found = [tuple(r) for r in links.select("a", "b").collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
 @pytest.mark.parametrize("rows", [3, 1000])
 def test_components(spark, rows):
     rng = random.Random(4)
