@@ -117,13 +117,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "v
 
     Null ids, and vectors that are null, empty, zero, of another size than
     most, or hold null or non-finite components take no part. Rows with the
-    query's own id are not candidates; repeated ids are one candidate each.
+    query's own id are not candidates. Repeated rows count once; an id with
+    several vectors is one candidate by the best of them, and one query by all.
     An index is fitted on a bounded sample and holds every vector; a query that
     has fewer than k candidates gets all. Empty tables give no rows.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     v = F.col(vector_column).cast("array<double>")
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    rows = settle(rows.distinct())
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -145,7 +147,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "v
     counts = np.zeros(index.counts.shape, np.int64)
     for r in entries.groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # as many rows as cells
         counts[r["a"], r["b"]] = r["n"]
-    index = MultiIndex(index.left, index.right, counts, max(index.visit, k + 1 + int(counts.max())))
+    most = entries.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]  # vectors of one id
+    index = MultiIndex(index.left, index.right, counts, max(index.visit, (k + 1) * most + int(counts.max())))
     splits = np.maximum(1, -(-counts.sum(1) // BLOCK)).tolist()  # of each left centroid's entries, however many it holds
     parts = max(1, -(-total // (BLOCK * every)))  # of the queries
 
@@ -186,15 +189,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "v
                 scores[own[:, None] == ids[None, :]] = -np.inf
                 for i in range(len(q)):
                     s = scores[i]
-                    cut = np.partition(s, len(s) - k)[len(s) - k] - 1e-9 if len(s) > k else -np.inf
+                    wide = k * most  # so many entries hold the best k ids
+                    cut = np.partition(s, len(s) - wide)[len(s) - wide] - 1e-9 if len(s) > wide else -np.inf
                     found = np.flatnonzero((s >= cut) & (s > -np.inf))
                     exact = exact_scores(q[i], x[found])
-                    best = np.lexsort((ids[found], -exact))[:k]
+                    best = np.lexsort((ids[found], -exact))
+                    best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]
                     out += zip([int(own[i])] * len(best), ids[found][best].tolist(), exact[best].tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["a", "split", "part"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double").distinct()
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -349,6 +349,46 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["rows", "row", "vectors"])
+def test_neighbours_of_repeated_ids(spark, kind):
+    """Every row twice, the rows of some ids 30 times, or ids with 30 vectors: 20 ids each, as without repeats or nearer."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = [int(np.argsort(-(x @ x[q]))[1]) for q in range(0, 400, 20)]
+    if kind == "rows":
+        more = rows
+    elif kind == "row":
+        more = [rows[i] for i in near for _ in range(29)]
+    else:
+        more = [(i, (x[i] * (1 + j / 1000)).tolist()) for i in near if i % 20 for j in range(1, 30)]
+
+    def found(rows):
+        out = defaultdict(list)
+        for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect():
+            out[r["query_id"]].append((r["vec_id"], r["score"]))
+        return out
+
+    got = found(rows + more)
+    assert sorted(got) == list(range(0, 400, 20))
+    vectors = defaultdict(list)
+    for i, v in rows + more:
+        vectors[i].append(v)
+    recall = []
+    for q, pairs in got.items():
+        best = {i: max(float((np.array(v) * w).sum()) for v in vs for w in vectors[q]) for i, vs in vectors.items() if i != q}
+        assert len(pairs) == len({i for i, _ in pairs}) == 20
+        assert np.allclose([s for _, s in pairs], [best[i] for i, _ in pairs])
+        recall.append(len({i for i, _ in pairs} & set(sorted(best, key=lambda i: (-best[i], i))[:20])) / 20)
+    assert np.mean(recall) >= 0.9
+    if kind != "vectors":
+        assert got == found(rows)
+    few = found([(i, x[i].tolist()) for i in range(25)] + [(3, (x[3] * (1 + j / 100)).tolist()) for j in range(60)])
+    assert {q: len(pairs) for q, pairs in few.items()} == {0: 20, 20: 20}
+    few = found([(i, x[i].tolist()) for i in range(15)] * 2 + [(3, (x[3] * (1 + j / 100)).tolist()) for j in range(60)])
+    assert len(few[0]) == 14
+
+
 def test_mixing_targets():
     got = {s: t for s, _, t, _ in mixing.targets([(None, 100), ("b", 1000), ("a", 10), ("c", 0)])}
     assert got["a"] == 20 and got["c"] == 0 and got[None] == 200 and got["b"] == pytest.approx(1.5 * 1110 - 220)
