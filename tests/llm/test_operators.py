@@ -153,6 +153,23 @@ def test_license_passages(spark):
     assert got == {1: ("gpl-3", ""), 2: ("gpl-3", ""), 3: ("", "")}
 
 
+def test_license_near_misses(spark):
+    """Notices that differ from a template in the deciding word only, or have a word more before it."""
+    gnu, cc = "This work is licensed under the GNU {}General Public License{}.", "This work is licensed under a Creative Commons Attribution{} International License."
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    mozilla = "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}."
+    want = [
+        (gnu.format("", ", version 3"), "gpl-3"), (gnu.format("", ", version 2"), "gpl-2"), (gnu.format("", " (GPL), version 3"), "gpl-3"), (gnu.format("", ""), "gpl"), (gnu.format("", " v2, of 3 May"), "gpl-2"),
+        (gnu.format("Lesser ", ", version 3"), "lgpl-3"), (gnu.format("Lesser ", ", version 2.1"), "lgpl-2"), (gnu.format("Affero ", ", version 3"), "agpl-3"),
+        (free.format("", 3), "gpl-3"), (free.format("", 2), "gpl-2"), (free.format("Lesser ", 3), "lgpl-3"),
+        (cc.format(" 4.0"), "cc-by"), (cc.format("-ShareAlike 4.0"), "cc-by-sa"), (cc.format("-NonCommercial 4.0"), "cc-by-nc"), (cc.format("-NoDerivatives 4.0"), "cc-by-nd"), (cc.format("-NonCommercial-ShareAlike 4.0"), "cc-by-nc-sa"), (cc.format(" Share Alike 4.0"), "cc-by-sa"),
+        (mozilla.format("2.0"), "mpl-2"), (mozilla.format("1.1"), "mpl-1"),
+        (cc.format(" 4.0") + " " + cc.format("-ShareAlike 4.0"), "cc-by,cc-by-sa"), ("so " * 9 + gnu.format("", ", version 2") + " and so on " * 9 + gnu.format("", ", version 3"), "gpl-2,gpl-3"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(want)] == want
+
+
 def groups(rows, n, t):
     sets = []
     for _, text in rows:
