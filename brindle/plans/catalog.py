@@ -451,12 +451,22 @@ def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH a AS (SELECT vec_id, list_distance({_E}, {_LIST}) AS distance FROM embeddings WHERE vec_id < 300), k AS (SELECT doc_id AS vec_id, 1.0 AS keyword FROM documents WHERE contains(text, 'license')) SELECT vec_id, round(0.6 * coalesce(1 - distance / greatest(distance, 1.0), 0) + 0.4 * coalesce(keyword, 0), 5) AS score FROM a FULL JOIN k USING (vec_id)")
 def vec_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, F.col("vec_id") < 300)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, which: Column) -> DataFrame:
     rows, q = _embeddings(spark, sf_dir)
-    near = rows.where("vec_id < 300").select("vec_id", vectors.l2_distance(F.col("embedding"), q).alias("distance"))
+    near = rows.where(which).select("vec_id", vectors.l2_distance(F.col("embedding"), q).alias("distance"))
     words = load(spark, sf_dir, "documents").where(F.col("text").contains("license")).select(F.col("doc_id").alias("vec_id"), F.lit(1.0).alias("keyword"))
     return vectors.hybrid(near, words, "vec_id", 0.6).select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query(f"WITH a AS (SELECT vec_id, list_distance({_E}, {_LIST}) AS distance FROM embeddings), k AS (SELECT doc_id AS vec_id, 1.0 AS keyword FROM documents WHERE contains(text, 'license')) SELECT vec_id, round(0.6 * coalesce(1 - distance / greatest(distance, 1.0), 0) + 0.4 * coalesce(keyword, 0), 5) AS score FROM a FULL JOIN k USING (vec_id)")
+def vec_hybrid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_hybrid over all embeddings; that one keeps the ids its SQL has."""
+    return _hybrid(spark, sf_dir, F.lit(True))
+
+
 @query("SELECT vec_id, CAST(floor((CAST(embedding[3] AS DOUBLE) - lo) / (hi - lo) * 255) AS INTEGER) AS code FROM embeddings CROSS JOIN (SELECT min(CAST(embedding[3] AS DOUBLE)) AS lo, max(CAST(embedding[3] AS DOUBLE)) AS hi FROM embeddings)")
 def vec_quantize8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.quantize8(load(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.get("codes", F.lit(2)).alias("code"))

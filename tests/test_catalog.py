@@ -45,3 +45,8 @@ def test_query(spark, sf_dir, name):
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, got) == rows(columns, want.fetchall())
+
+
+def test_vec_hybrid_all_scores_every_embedding(spark, sf_dir):
+    got = {r["vec_id"] for r in catalog.QUERIES["vec_hybrid_all"](spark, sf_dir).collect()}
+    assert {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()} <= got
