@@ -50,3 +50,9 @@ def test_query(spark, sf_dir, name):
 def test_vec_hybrid_all_scores_every_embedding(spark, sf_dir):
     got = {r["vec_id"] for r in catalog.QUERIES["vec_hybrid_all"](spark, sf_dir).collect()}
     assert {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()} <= got
+
+
+def test_json_roundtrip_all_is_the_whole_table(spark, sf_dir):
+    want = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
+    got = catalog.QUERIES["json_roundtrip_all"](spark, sf_dir)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
