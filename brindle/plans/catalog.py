@@ -145,6 +145,7 @@ both("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM li
 both("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000")
 both("join_right", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
 both("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 50) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey > 20 AND c_custkey < 90) c ON s_suppkey = c_custkey")
+both("join_full_all", "SELECT s_suppkey, c_custkey FROM supplier FULL OUTER JOIN customer ON s_suppkey = c_custkey + 5")  # whole tables; join_full keeps its ids
 both("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 both("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
 both("join_left_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
