@@ -140,10 +140,16 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """Equi-depth: bounds of the values' quantiles, found by approximate percentiles in one pass, and the rows between them."""
+    """Equi-depth: (bucket, upper, cumulative_count, ndv_in_bucket). Bounds are quantiles by approximate percentiles; the counts
+    are exact: rows up to the bound, and distinct values over the last bound. Nulls are in no bucket."""
     cuts = [i / buckets for i in range(buckets + 1)]
     bounds = df.agg(F.percentile_approx(column, cuts, 10_000).alias("cuts"))
-    return bounds.select(F.posexplode("cuts").alias("bucket", "upper"))
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+    bucket = F.least(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(buckets))
+    held = values.crossJoin(F.broadcast(bounds)).groupBy(bucket.alias("bucket")).agg(F.sum("rows").alias("rows"), F.count("*").alias("ndv"))
+    by = Window.orderBy("bucket")  # as many rows as buckets
+    made = bounds.select(F.posexplode("cuts").alias("bucket", "upper")).join(held, "bucket", "left")
+    return made.select("bucket", "upper", F.sum(F.coalesce("rows", F.lit(0))).over(by).alias("cumulative_count"), F.coalesce("ndv", F.lit(0)).alias("ndv_in_bucket"))
 
 
 def running(df: DataFrame, partition: list[str], order: list[Column]) -> WindowSpec:

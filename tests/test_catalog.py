@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from brindle.operators import relational
 from brindle.plans import catalog
 from brindle.sources.tables import NAMES
 
@@ -63,3 +64,14 @@ def test_join_full_all_has_every_key(spark, sf_dir):
     for at, name, key in ((0, "supplier", "s_suppkey"), (1, "customer", "c_custkey")):
         assert sorted(r[at] for r in got if r[at] is not None) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key).collect())
         assert any(r[at] is None for r in got)
+
+
+def test_histogram_counts(spark, sf_dir):
+    prices = [r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_totalprice").collect()]
+    for values, got in ((prices, catalog.QUERIES["profile_histogram"](spark, sf_dir)), ([None, 1.0, 1.0, 1.0, 2.0, 3.0], relational.histogram(spark.createDataFrame([(x,) for x in (None, 1.0, 1.0, 1.0, 2.0, 3.0)], "v double"), "v", 4))):
+        values, last = [v for v in values if v is not None], -math.inf
+        got = sorted(map(tuple, got.select("bucket", "upper", "cumulative_count", "ndv_in_bucket").collect()))
+        assert got[-1][2] == len(values)
+        for _, upper, rows_, ndv in got:
+            assert (rows_, ndv) == (sum(v <= upper for v in values), len({v for v in values if last < v <= upper}))
+            last = upper
