@@ -1,9 +1,10 @@
-"""Small helpers about the cluster: lineage cuts and size-checked broadcasts."""
+"""Small helpers about the cluster: lineage cuts, tables in the shared folder, size-checked broadcasts and joins of hot keys."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,23 +12,72 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
+#: Rows of one key that one task of a join takes, and the most keys that are split for having more.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
 
+_local: dict[str, str] = {}
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a local master may have none, which gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp()
+        _local[spark.sparkContext.applicationId] = folder
+    return folder.rstrip("/")
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the folder that the cluster names in spark.checkpoint.dir."""
+    """Computes df once and cuts its lineage, in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As settle, as a Parquet table, of which later steps read single columns. forget() deletes it."""
+    at = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _written.append(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that stored() has written; call it when results made of them have been written or read."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has few rows; call it on settled data, as it counts. Beyond that Spark shuffles."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fan_join(big: DataFrame, facts: DataFrame, on: str | list[str], size: str, spread: str) -> DataFrame:
+    """big left-joined with facts (settled, one row a key), of which `size` says how many rows of big have the key.
+
+    Few facts are broadcast. Beyond that rows of a key that has over HOT_ROWS
+    (or, at large sizes, a ten-thousandth of all) are dealt out by a hash of
+    the column `spread` and meet a copy of the key's facts each.
+    """
+    on = [on] if isinstance(on, str) else on
+    counts = facts.agg(F.count("*").alias("n"), F.sum(size).alias("rows")).first()
+    if counts["n"] <= BROADCAST_ROWS:
+        return big.join(F.broadcast(facts.drop(size)), on, "left")
+    rows = max(HOT_ROWS, (counts["rows"] or 0) // HOT_KEYS)
+    hot = F.broadcast(facts.where(F.col(size) > rows).select(*on, F.ceil(F.col(size) / rows).cast("int").alias("__fan")))  # HOT_KEYS rows at most
+    dealt = big.join(hot, on, "left").withColumn("__at", F.coalesce(F.pmod(F.xxhash64(spread), "__fan"), F.lit(0)).cast("int")).drop("__fan")
+    copied = facts.drop(size).join(hot, on, "left").withColumn("__at", F.explode(F.sequence(F.lit(0), F.coalesce("__fan", F.lit(1)) - 1))).drop("__fan")
+    return dealt.join(copied, [*on, "__at"], "left").drop("__at")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Readies the session for Python workers: they find this package beside the driver's path, and texts go to them in small
     Arrow batches, so that what waits on either side stays a few megabytes, and at most BATCH_BYTES."""

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import settle
+from .cluster import fan_join, settle
 
 #: Links that one task contracts in its memory, at most about.
 CONTRACT_ROWS = 250_000
@@ -51,11 +51,11 @@ def components(links: DataFrame, contract_rows: int = CONTRACT_ROWS, limit: int
     before = None
     for _ in range(limit if parts > 1 else 0):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        down = large.where("a > b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("least"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").union(least)
+        least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("n")))
+        large = fan_join(both.where("b > a"), least, "a", "n", "b").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        down = settle(large.where("a > b").distinct())
+        least = settle(down.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")))
+        small = fan_join(down, least, "a", "n", "b").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").union(least.drop("n"))
         edges = settle(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.count_distinct("a").alias("d"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if now["n"] == now["d"] and now == before:

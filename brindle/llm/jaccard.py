@@ -1,20 +1,27 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix, under size-derived bounds.
 
-Equal shingle sets are one class (a row of the matrix). Columns are ordered by
-rising frequency; two classes that link share a column among the first
-n - ceil(t n) + 1 of either (the prefix), so only prefix columns with two or
-more classes are multiplied. A hit gives an upper bound of the overlap from
-both sizes and places; pairs below the overlap that their sizes ask for are
-discarded, and every other one is verified over whole rows, in blocks.
-
-Narrow columns give their pairs by a join, wide ones by square blocks of their
-classes. All pairs that bitmaps leave are verified, so all links between
-classes are found; in a group of near copies they are as many as its pairs.
+Equal shingle sets are one class (a row of the matrix); the sets are hashed
+once and kept as a table. Columns are ordered by rising frequency; two classes
+that link share a column among the first n - ceil(t n) + 1 of either (the
+prefix), so only prefix columns with two or more classes say where the product
+can have entries:
+
+1. A narrow column gives its pairs of classes, under bounds from both sizes and
+   places. Each class of wide columns lies in one block (its widest column, its
+   size level, a tile of BLOCK classes); two blocks with a wide column in common
+   are a block of the product, once, however many columns they share.
+2. Bitmaps of the sets bound each pair's overlap in such blocks, all at once.
+3. What is left is multiplied out: blocks of whole rows, where shared columns
+   add up to overlap counts, and pairs leave as soon as the columns to come
+   can't bring them to the overlap that their sizes ask for.
+
+All links between classes are found; in a group of near copies they are as
+many as its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 from hashlib import blake2b
 
@@ -24,45 +31,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import settle, small_side, table
+from .cluster import fan_join, settle, small_side, stored, table
 from .components import components
-from .textkit import LOWER, SPACED, Words, buffers, chunks, family, task
+from .textkit import LOWER, SPACED, Words, buffers, chunks, runs, task
 
 #: Words of a shingle and the least similarity, unless a caller has others.
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
-#: Columns of at most so many classes give all pairs; rows of a block.
+#: Columns of at most so many classes give pairs; classes of a block.
 NARROW, BLOCK = 48, 500
-#: Rows of postings for each partition of the tables of pairs.
+#: Rows for each partition of the tables of pairs.
 PART_ROWS = 20_000
-#: Frequent columns that get a place of their own at the end of the order, and shingles counted at once.
-FREQUENT, COUNTED = 100_000, 1 << 21
-#: Pairs for each row of a block from which they are multiplied out together, and columns that are multiplied at once.
-DENSE, COLUMNS = 32, 8192
+#: Frequent columns that get a place of their own at the end of the order, shingles counted at once, and the count from which
+#: rows of a column are dealt out over many tasks before they are grouped.
+FREQUENT, COUNTED, HOT = 100_000, 1 << 21, 2_000
+#: Columns that are multiplied at once, and the most classes of a column whose pairs are added up one by one.
+COLUMNS, FEW = 4096, 12
 SEED = 23
-#: Bytes of a hash in a row that travels to be multiplied, and bits of the bitmaps that pairs are first tried on.
-ROW_BYTES, BITS = 5, 4096
+#: Bits of the bitmaps that pairs are first tried on.
+BITS = 4096
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes; of fewer than n words, the whole sequence is one."""
     data, offsets = buffers(part.column("text"))
     words = Words(LOWER[data], offsets, SPACED)
-    f = family(SEED)
-    sums = f.sums(words.hashes(SEED + 1))
+    hashes = words.hashes(SEED)
     start, row = words.grams(n)
-    grams, bounds = f.span(sums, start, start + n).view(np.int64), np.searchsorted(row, np.arange(part.num_rows + 1))
-    out = []
-    for i in range(part.num_rows):
-        if 0 < words.counts[i] < n:
-            at = words.first[i : i + 1]
-            out.append(f.span(sums, at, at + words.counts[i]).view(np.int64))
-        else:
-            out.append(np.unique(grams[bounds[i] : bounds[i + 1]]))
-    return out
-
-
-def _class(grams: np.ndarray) -> int:
-    return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+    grams = runs(hashes, n, SEED)[start].view(np.int64)
+    for k in range(1, n):
+        short = np.flatnonzero(words.counts == k)
+        if len(short):
+            grams = np.r_[grams, runs(hashes, k, SEED)[words.first[short]].view(np.int64)]
+            row = np.r_[row, short]
+    order = np.lexsort((grams, row))
+    grams, row = grams[order], row[order]
+    if len(grams):
+        keep = np.r_[True, (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])]
+        grams, row = grams[keep], row[keep]
+    bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+    return [grams[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def needed(n_a: Column, n_b: Column, t: Fraction) -> Column:
@@ -71,20 +78,28 @@ def needed(n_a: Column, n_b: Column, t: Fraction) -> Column:
     return F.ceil(F.lit(p) * (n_a + n_b) / F.lit(float(p + q)) - 1e-9)
 
 
+def _links(o: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fraction) -> np.ndarray | bool:
+    return t.denominator * o >= t.numerator * (a + b - o)
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """The one pass over texts: rid (a number of its own), doc_id, th, key (128 bits of the set), n, grams (its sorted hashes)."""
+
     @task("jaccard")
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part, n)
-                columns = [part.column("doc_id"), part.column("th"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-                yield pa.record_batch(columns, ["doc_id", "th", "c", "n"])
+                grams = [s.tobytes() for s in sets]
+                columns = [part.column(c) for c in ("rid", "doc_id", "th")]
+                columns += [pa.array([blake2b(g, digest_size=16).digest() for g in grams], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(grams, pa.binary())]
+                yield pa.record_batch(columns, ["rid", "doc_id", "th", "key", "n", "grams"])
 
-    return docs.mapInArrow(hashed, "doc_id long, th long, c long, n long")
+    return docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(hashed, "rid long, doc_id long, th long, key binary, n long, grams binary")
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles and their counts, for the order of columns only: any order that all tasks share is right."""
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles and their counts, for the order of columns and the spread of hot ones only: any order that all tasks share is right."""
 
     @task("jaccard")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,140 +111,254 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             held.clear()
 
         for batch in batches:
-            for part in chunks(batch):
-                held += shingle_sets(part, n)
+            for part in chunks(batch, "grams", 8 << 20):
+                held.append(buffers(part.column("grams"))[0].view(np.int64).copy())
                 if sum(map(len, held)) > COUNTED:
                     yield from flush()
         yield from flush()
 
-    rows = docs.mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT).collect()
-    gram, times = np.array([r["gram"] for r in rows], np.int64), np.array([r["times"] for r in rows], np.int64)
+    rows = sets.select("grams").mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT)
+    rows = rows.toArrow()
+    gram, times = rows["gram"].to_numpy(), rows["times"].to_numpy()
     order = np.argsort(gram)
     return gram[order], times[order]
 
 
-def _postings(docs: DataFrame, n: int, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, c, n, place) of the prefix of every class, from at least one of its rows in each task."""
+def _postings(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, c, n, place, hot) of every class's prefix. hot: the column is known to be wide."""
 
     @task("jaccard")
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch):
-                grams, keys, sizes, places = [], [], [], []
-                for s in shingle_sets(part, n):
-                    if not len(s) or (c := _class(s)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
-                    prefix = len(s) + (-t.numerator * len(s)) // t.denominator + 1
-                    rank = np.zeros(len(s), np.int64)
-                    if len(frequent[0]):
-                        at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
-                        rank = np.where(frequent[0][at] == s, frequent[1][at], 0)
-                    grams.append(s[np.argsort(rank, kind="stable")[:prefix]])
-                    keys.append(np.full(prefix, c))
-                    sizes.append(np.full(prefix, len(s)))
-                    places.append(np.arange(prefix))
-                if grams:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (grams, keys)] + [pa.array(np.concatenate(x).astype(np.int32)) for x in (sizes, places)], ["gram", "c", "n", "place"])
-
-    return docs.mapInArrow(emit, "gram long, c long, n int, place int")
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.sort(np.concatenate([a, b]))
-    return int((both[1:] == both[:-1]).sum())
-
-
-def _row_bytes(grams: np.ndarray) -> bytes:
-    """A row of the matrix as it travels: the upper 40 bits of each hash. Two of the thousand of a text agree by chance
-    once in a million pairs of texts, and an overlap has to be at its bound for that to matter."""
-    return np.ascontiguousarray(grams.astype("<i8").view(np.uint8).reshape(-1, 8)[:, 8 - ROW_BYTES :]).tobytes()
+            for part in chunks(batch, "grams", 8 << 20):
+                data, bounds = buffers(part.column("grams"))
+                s, n = data.view(np.int64), np.diff(bounds) // 8
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(s), np.int64)
+                if len(frequent[0]):
+                    at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
+                    rank = np.where(frequent[0][at] == s, frequent[1][at], 0)
+                order = np.lexsort((s, rank, row))
+                place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                prefix = n + (-t.numerator * n) // t.denominator + 1
+                keep = place < prefix[row]
+                order, row, place = order[keep], row[keep], place[keep]
+                yield pa.record_batch([pa.array(s[order]), pa.array(np.asarray(part.column("c"))[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rank[order] > HOT)], POSTING)
+
+    POSTING = ["gram", "c", "n", "place", "hot"]
+    return sets.select("c", "grams").mapInArrow(emit, "gram long, c long, n int, place int, hot boolean")
+
+
+def _columns(postings: DataFrame, t: Fraction) -> DataFrame:
+    """Postings in the order of columns as rows of two kinds: pairs (a, b) of narrow columns, and of wide ones (gram, c, n)."""
+    p, q = t.numerator, t.denominator
 
+    @task("jaccard")
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, wide_gram = None, None
+
+        def out(cols: list[np.ndarray], kind: str) -> pa.RecordBatch:
+            none = pa.nulls(len(cols[0]), pa.int64())
+            made = [pa.array(x.astype(np.int64)) for x in cols]
+            return pa.record_batch([*made, none, none, none] if kind == "pairs" else [none, none, *made], ["a", "b", "gram", "c", "n"])
+
+        def done(g: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.diff(np.r_[first, len(g)])
+            width = np.repeat(size, size)
+            wide = (width > NARROW) | (g == wide_gram if wide_gram is not None else False)
+            if wide.any():
+                yield out([g[wide], c[wide], n[wide]], "wide")
+            keep = ~wide & (width > 1)
+            g, c, n, place = g[keep], c[keep], n[keep], place[keep]
+            for apart in range(1, min(NARROW, len(g))):
+                x = np.flatnonzero(g[apart:] == g[:-apart])
+                if not len(x):
+                    break
+                y = x + apart
+                need = -(-p * (n[x] + n[y]) // (p + q))
+                x, y = (v[(np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (c[x] != c[y])] for v in (x, y))
+                if len(x):
+                    yield out([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], "pairs")
 
-def _row(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // ROW_BYTES, 8), np.uint8)
-    wide[:, 8 - ROW_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, ROW_BYTES)
-    return wide.view("<i8").ravel()
+        for batch in batches:
+            now = [np.asarray(batch.column(k)).astype(np.int64) for k in ("gram", "c", "n", "place")]
+            held = now if held is None else [np.r_[a, b] for a, b in zip(held, now, strict=True)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last column may go on in the next batch
+            if cut:
+                yield from done(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+            if len(held[0]) > NARROW:  # and once it is known to be wide, its rows needn't wait
+                wide_gram = int(held[0][0])
+                yield from done(*held)
+                held = None
+        if held is not None and len(held[0]):
+            yield from done(*held)
+
+    ordered = postings.where("not hot").select("gram", "c", "n", "place").repartition("gram").sortWithinPartitions("gram")
+    hot = postings.where("hot").select(*[F.lit(None).cast("long").alias(x) for x in "ab"], "gram", "c", F.col("n").cast("long"))
+    return ordered.mapInArrow(multiply, "a long, b long, gram long, c long, n long").union(hot)
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(c, bits): the set's size and a bit for each hash; the bits in which two sets differ come from shingles in one of them."""
 
+    @task("jaccard")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "grams", 1 << 20):
+                data, bounds = buffers(part.column("grams"))
+                n = np.diff(bounds) // 8
+                bits = np.zeros((len(n), BITS), bool)
+                bits[np.repeat(np.arange(len(n)), n), data.view(np.uint64) % np.uint64(BITS)] = True
+                packed = np.concatenate([n.astype("<u4").view(np.uint8).reshape(-1, 4), np.packbits(bits, axis=1)], 1)
+                yield pa.record_batch([part.column("c"), pa.array([r.tobytes() for r in packed], pa.binary())], ["c", "bits"])
 
-def _bitmap(grams: np.ndarray) -> bytes:
-    """The set's size and a bit for each hash; the bits of two sets that differ come from shingles in one of them."""
-    bits = np.zeros(BITS, bool)
-    bits[grams.view(np.uint64) % np.uint64(BITS)] = True
-    return len(grams).to_bytes(4, "little") + np.packbits(bits).tobytes()
+    return sets.select("c", "grams").mapInArrow(make, "c long, bits binary")
 
 
-def _bitmaps_may_link(x: bytes, y: bytes, t: Fraction) -> bool:
-    a, b = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
-    apart = (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count()
-    return bool(_links(min(a, b, (a + b - apart) // 2), a, b, t))
+def _unpacked(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), 4 + BITS // 8)
+    return np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int64), rows[:, 4:]
 
 
-def _links(o: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fraction) -> np.ndarray | bool:
-    return t.denominator * o >= t.numerator * (a + b - o)
+def _may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, t: Fraction) -> np.ndarray:
+    return _links(np.minimum(np.minimum(n, m), (n + m - apart) // 2), n, m, t)
 
 
-def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, links, labels): a settled row (doc_id, th, c, n) for each row of docs; all links (a, b), a < b, between different
-    classes, each once; and components (node, label) of these."""
+def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, sizes, links, labels): rid, doc_id, th, n and class c of each row of docs; the rows m of each class; all links
+    (a, b), a < b, between different classes, each once; and components (node, label) of these."""
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    classes = settle(_sets(docs, n))
-    by_gram = "partition by gram"
-    wide = _postings(docs, n, t, _frequent(docs, n)).selectExpr("*", f"min(c) over ({by_gram}) as lo", f"max(c) over ({by_gram}) as hi").where("lo < hi")
-    postings = settle(wide.select("gram", "c", "n", "place").distinct().selectExpr("*", f"count(*) over ({by_gram}) as width"))
-    parts = 1 + postings.count() // PART_ROWS  # of the small tables that are made of them
+    sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")), n))
+    # a class is named by one of its rows; a key that a large part of all rows have is counted where they are
+    many = settle(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("c"), F.count("*").alias("m")).where("m > 1"))
+    rows = fan_join(sets.select("rid", "doc_id", "th", "n", "key"), many, "key", "m", "rid").select("rid", "doc_id", "th", "n", F.coalesce("c", "rid").alias("c"))
+    again = settle(rows.where("rid <> c and n > 0").select("rid"))
+    distinct = sets.where("n > 0").join(small_side(again), "rid", "left_anti").select(F.col("rid").alias("c"), "n", "grams")
+
+    columns = settle(_columns(_postings(distinct, t, _frequent(distinct)), t))
+    parts = 1 + columns.count() // PART_ROWS  # of the small tables that are made of them
 
     def small(df: DataFrame) -> DataFrame:
         return settle(df.coalesce(parts))
 
-    def may_link(a: str, b: str) -> Column:
-        need = needed(F.col(f"{a}.n"), F.col(f"{b}.n"), t)
-        return F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) >= need
-
-    narrow, large = postings.where(F.col("width") <= NARROW), postings.where(F.col("width") > NARROW)
-    pairs = narrow.alias("a").join(narrow.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") < F.col("b.c")) & may_link("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-
-    def described(needed: DataFrame, name: str, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
-        """(c, name) for the classes that a product needs; name is what `describe` makes of their shingles."""
-        texts = small(classes.join(small_side(small(needed.distinct())), "c", "left_semi").groupBy("c").agg(F.min("th").alias("th")))
-        rows = docs.join(small_side(texts.select("th")), "th", "left_semi")
-
-        @task("jaccard")
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                for part in chunks(batch):
-                    sets = {c: s for s in shingle_sets(part, n) if len(s) and (c := _class(s)) not in seen}
-                    if len(seen) < 1_000_000:
-                        seen.update(sets)
-                    if sets:
-                        yield pa.record_batch([pa.array(list(sets), pa.int64()), pa.array([describe(s) for s in sets.values()], pa.binary())], ["c", name])
-
-        return rows.mapInArrow(whole, f"c long, {name} binary").groupBy("c").agg(F.first(name).alias(name))
-
-    def matched(pairs: DataFrame, name: str, describe: Callable[[np.ndarray], bytes], test: Callable[[bytes, bytes], bool]) -> DataFrame:
-        """The pairs (a, b) whose descriptions pass the test."""
-        table_ = described(pairs.select(F.col("a").alias("c")).union(pairs.select("b")), name, describe)
-        one, other = (table_.select(F.col("c").alias(k), F.col(name).alias(f"d{k}")) for k in "ab")
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sides = zip(batch.column("da").to_pylist(), batch.column("db").to_pylist(), strict=True)
-                yield batch.select(["a", "b"]).filter(pa.array([test(x, y) for x, y in sides], pa.bool_()))
-
-        return small(pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long"))
-
-    def may_reach(x: bytes, y: bytes) -> bool:
-        return _bitmaps_may_link(x, y, t)
-
-    candidates = matched(small(pairs), "bits", _bitmap, may_reach)
-    if not large.isEmpty():
-        candidates = candidates.union(_wide_pairs(large, described(large.select("c"), "bits", _bitmap), t)).distinct()
+    def described(nodes: DataFrame) -> DataFrame:
+        return distinct.join(small_side(small(nodes.distinct())), "c", "left_semi")
+
+    pairs = small(columns.where("a is not null").select("a", "b").distinct())
+    wide = columns.where("gram is not null").select("gram", "c", "n")
+    blocks = None if wide.isEmpty() else small(_blocks(wide, t))
+    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
+    bits = settle(_bitmaps(described(nodes if blocks is None else nodes.union(blocks.select("c")))))
+    one, other = (bits.select(F.col("c").alias(k), F.col("bits").alias(f"d{k}")) for k in "ab")
+
+    @task("jaccard")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (size_a, on_a), (size_b, on_b) = (_unpacked(batch.column(k).to_pylist()) for k in ("da", "db"))
+                apart = np.bitwise_count(on_a ^ on_b).sum(1, dtype=np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array(_may_link(size_a, size_b, apart, t)))
+
+    candidates = pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long")
+    if blocks is not None:
+        candidates = candidates.union(_block_pairs(wide, blocks, bits, t)).distinct()
     links = settle(_verified(small(candidates), described, t).coalesce(parts))
-    return classes, links, components(links)
+    return rows, many.select("c", "m"), links, components(links)
+
+
+def _blocks(wide: DataFrame, t: Fraction) -> DataFrame:
+    """(c, block, level) of each class of wide columns: its widest one, its size level and a tile of about BLOCK classes."""
+    widths = settle(wide.groupBy("gram").agg(F.count("*").alias("width")))
+    home = fan_join(wide, widths.withColumn("size", F.col("width")), "gram", "size", "c").groupBy("c").agg(F.max(F.struct("width", "gram")).alias("home"), F.first("n").alias("n"))
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(t.denominator / t.numerator)))).cast("int")
+    members = settle(home.select("c", F.col("home.gram").alias("home"), level.alias("level")))
+    sizes = members.groupBy("home", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"), F.count("*").alias("size"))
+    named = fan_join(members.withColumn("at", F.struct("home", "level")), settle(sizes.select(F.struct("home", "level").alias("at"), "tiles", "size")), "at", "size", "c")
+    return named.select("c", F.xxhash64("home", "level", F.pmod(F.xxhash64("c"), "tiles")).alias("block"), "level")
+
+
+def _block_pairs(wide: DataFrame, blocks: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b), a < b, that bitmaps leave in the blocks of the product that wide columns make non-zero. Levels of sizes
+    that can't link don't meet."""
+    held = settle(wide.select("gram", "c").join(small_side(blocks), "c").select("gram", "block", "level").distinct())
+    x, y = held.alias("x"), held.alias("y")
+    met = x.join(y, F.expr("x.gram = y.gram and x.block <= y.block and abs(x.level - y.level) <= 1")).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
+    met = settle(met)
+    members = blocks.select("c", "block")
+    sides = met.join(members, F.col("i") == F.col("block")).select("i", "j", "c", F.lit(0).alias("side")).union(met.where("i <> j").join(members, F.col("j") == F.col("block")).select("i", "j", "c", F.lit(1)))
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        x, y = rows[rows["side"] == 0], rows[rows["side"] == (0 if same else 1)]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        (n, on), (m, to) = _unpacked(list(x["bits"])), _unpacked(list(y["bits"]))
+        on, to = (np.unpackbits(v, axis=1).astype(np.float32) for v in (on, to))
+        apart = np.rint(on.sum(1)[:, None] + to.sum(1)[None, :] - 2 * (on @ to.T)).astype(np.int64)
+        a, b = x["c"].to_numpy(), y["c"].to_numpy()
+        ok = _may_link(n[:, None], m[None, :], apart, t) & (a[:, None] < b[None, :] if same else True)
+        at, into = np.nonzero(ok)
+        return pd.DataFrame({"a": np.minimum(a[at], b[into]), "b": np.maximum(a[at], b[into])})
+
+    return sides.join(bits, "c").groupBy("i", "j").applyInPandas(block, "a long, b long")
+
+
+def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs of rows (a, b) link: overlap counts added up over blocks of columns, rare columns pair by pair and others as
+    products, until no pair can link any more."""
+    size = np.array([len(r) for r in rows], np.int64)
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(flat)])
+    shared = np.repeat(times > 1, times)
+    flat, row, times = flat[shared], row[shared], times[times > 1]
+    width = np.repeat(times, times)
+    wanted = np.unique(a * len(rows) + b)
+    total = np.zeros(len(wanted), np.int64)
+    n, m = size[wanted // len(rows)], size[wanted % len(rows)]
+    # what each row still has in columns to come
+    to_come = np.bincount(row, minlength=len(rows))
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        key = np.r_[x * len(rows) + y, y * len(rows) + x]
+        at = np.searchsorted(wanted, key)
+        hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == key)
+        np.add.at(total, at[hit], 1)
+
+    rare = width <= FEW
+    g, r = flat[rare], row[rare]
+    for apart in range(1, FEW):
+        x = np.flatnonzero(g[apart:] == g[:-apart])
+        if not len(x):
+            break
+        add(r[x], r[x + apart])
+    to_come -= np.bincount(r, minlength=len(rows))
+    g, r, w = flat[~rare], row[~rare], times[times > FEW]
+    column = np.repeat(np.arange(len(w)), w)
+    live = np.arange(len(wanted))
+    for lo in range(0, len(w), COLUMNS):
+        x, y = wanted[live] // len(rows), wanted[live] % len(rows)
+        reach = total[live] + np.minimum(to_come[x], to_come[y])
+        live = live[_links(np.minimum(reach, np.minimum(n[live], m[live])), n[live], m[live], t)]
+        if not len(live):
+            break
+        from_, to = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(rows), min(COLUMNS, len(w) - lo)), np.float32)
+        part[r[from_:to], column[from_:to] - lo] = 1
+        x, y = wanted[live] // len(rows), wanted[live] % len(rows)
+        if 8 * len(live) < len(rows) ** 2:  # few pairs: their entries only
+            for at in range(0, len(live), 256):
+                total[live[at : at + 256]] += np.einsum("ij,ij->i", part[x[at : at + 256]], part[y[at : at + 256]]).astype(np.int64)
+        else:
+            total[live] += np.rint(part @ part.T)[x, y].astype(np.int64)
+        to_come -= np.bincount(r[from_:to], minlength=len(rows))
+    return _links(total, n, m, t)[np.searchsorted(wanted, a * len(rows) + b)]
 
 
 def _tiled(df: DataFrame, tiles: str) -> DataFrame:
@@ -238,122 +367,64 @@ def _tiled(df: DataFrame, tiles: str) -> DataFrame:
     return spread.select("*", F.least("t", "k").alias("i"), F.greatest("t", "k").alias("j")).drop("k")
 
 
-def _tile(c: str, tiles: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.col(tiles)).cast("int")
-
-
-def _wide_pairs(large: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b), a < b, of classes that share a wide column and whose bitmaps may link: square blocks of each column's
-    classes, where a pair counts in the first wide column that both have only."""
-    owned = large.groupBy("c").agg(F.array_sort(F.collect_set("gram")).alias("wide"))
-    tiles = F.ceil(F.col("width") / BLOCK).cast("int")
-    rows = _tiled(large.select("gram", "c", tiles.alias("tiles")).withColumn("t", _tile("c", "tiles")), "tiles").join(owned, "c").join(bits, "c")
-
-    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gram, i, j = key
-        x, y = rows[rows["t"] == i], rows[rows["t"] == j]
-        out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if not len(x) or not len(y):
-            return out
-        sizes, on, earlier = [], [], []
-        columns = np.unique(np.concatenate([np.asarray(w, np.int64) for w in rows["wide"]]))
-        columns = columns[columns < gram]
-        for side in (x, y):
-            sizes.append(np.array([int.from_bytes(d[:4], "little") for d in side["bits"]]))
-            on.append(np.unpackbits(np.stack([np.frombuffer(d[4:], np.uint8) for d in side["bits"]]), axis=1).astype(np.float32))
-            earlier.append(np.stack([np.isin(columns, w) for w in side["wide"]]).astype(np.float32))
-        n, m = sizes[0][:, None], sizes[1][None, :]
-        apart = np.rint(on[0].sum(1)[:, None] + on[1].sum(1)[None, :] - 2 * (on[0] @ on[1].T)).astype(np.int64)
-        a, b = x["c"].to_numpy(), y["c"].to_numpy()
-        ok = _links(np.minimum(np.minimum(n, m), (n + m - apart) // 2), n, m, t) & (earlier[0] @ earlier[1].T == 0)
-        ok &= a[:, None] < b[None, :] if i == j else a[:, None] != b[None, :]
-        at, to = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(a[at], b[to]), "b": np.maximum(a[at], b[to])})
-
-    return rows.select("gram", "i", "j", "c", "t", "wide", "bits").groupBy("gram", "i", "j").applyInPandas(block, "a long, b long")
-
-
-def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The overlap of each pair of rows (a, b): many pairs as a product over blocks of columns, few one by one."""
-    if len(a) <= DENSE * len(rows):
-        return np.array([_overlap(rows[i], rows[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    columns, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(times > 1) - 1
-    keep = times[at] > 1
-    at, row = shared[at[keep]], row[keep]
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    total = np.zeros((len(rows), len(rows)), np.float32)
-    for first in range(0, int((times > 1).sum()), COLUMNS):
-        lo, hi = np.searchsorted(at, [first, first + COLUMNS])
-        part = np.zeros((len(rows), COLUMNS), np.float32)
-        part[row[lo:hi], at[lo:hi] - first] = 1
-        total += part @ part.T
-    return np.rint(total[a, b]).astype(np.int64)
-
-
-def _verified(candidates: DataFrame, described: Callable[..., DataFrame], t: Fraction) -> DataFrame:
+def _verified(candidates: DataFrame, described, t: Fraction) -> DataFrame:
     """The candidates that link. Components of candidates are met in blocks: small ones several at a time, large ones by tiles,
     so that a row travels once for each block and not for each pair."""
     near = components(candidates)
-    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"))
+    sizes = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"), F.count("*").alias("size"))
     held = 1 + near.count() // BLOCK
     of = F.when(F.col("tiles") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(held)))
-    nodes = near.join(small_side(settle(sizes)), "label").select(F.col("node").alias("c"), (F.col("tiles") > 1).alias("large"), of.alias("part"), "tiles").withColumn("t", _tile("c", "tiles"))
+    tile = F.pmod(F.xxhash64("c"), "tiles").cast("int")
+    nodes = fan_join(near.withColumnRenamed("node", "c"), settle(sizes), "label", "size", "c").select("c", (F.col("tiles") > 1).alias("large"), of.alias("part"), "tiles").withColumn("t", tile)
     nodes = settle(nodes)
     side = small_side(nodes)
     one = side.select(F.col("c").alias("a"), "large", "part", F.col("t").alias("ta"))
     other = side.select(F.col("c").alias("b"), F.col("t").alias("tb"))
     keys = ["large", "part", "i", "j"]
     asked = candidates.join(one, "a").join(other, "b").select("a", "b", "large", "part", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"))
-    facing = _tiled(nodes, "tiles").join(described(nodes.select("c"), "grams", _row_bytes), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "grams")
+    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "grams"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "grams")
 
     def verify(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
             return pairs[["a", "b"]]
         place = pd.Index(rows["c"])
-        grams = [_row(g) for g in rows["grams"]]
-        n = np.array([len(g) for g in grams])
+        grams = [np.frombuffer(g, np.int64) for g in rows["grams"]]
         a, b = place.get_indexer(pairs["a"]), place.get_indexer(pairs["b"])
-        return pairs[_links(_overlaps(grams, a, b), n[a], n[b], t)][["a", "b"]]
+        return pairs[_overlaps(grams, a, b, t)][["a", "b"]]
 
     return asked.groupBy(*keys).cogroup(facing.groupBy(*[f"y_{k}" for k in keys])).applyInPandas(verify, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc_id, th (the text's xxhash64), n_shingles, component_id (the least doc_id that links reach).
+    """A row for each row of docs: doc_id, th (the text's xxhash64), n_shingles, component_id (the least doc_id that links
+    reach), n_links (the other rows it links with, those of equal sets included) and first (whether its doc_id and th are those
+    of the group's first row, by doc_id and th, null ids last).
 
     Words are lower-cased (A-Z) and separated by ASCII white space; a text of
-    fewer than n words has its whole sequence as one shingle. Null, empty and
-    blank texts have none, link with nothing and are their own component.
-    Rows of equal sets (copies, repeated rows) are linked. A null doc_id links
-    like others but is no component_id unless all of a component are null.
-    Empty tables give none; other columns are ignored.
+    fewer than n words has its whole sequence as one shingle; texts of any
+    length count as a whole. Null, empty and blank texts have no shingles, link
+    with nothing, are their own component and first. Rows of equal sets
+    (copies, repeated rows) are linked. A null doc_id links like others but is
+    no component_id unless all of a component are null. Empty tables give none;
+    other columns are ignored.
     """
-    classes, _, labels = jaccard_links(docs, n, similarity)
-    named = classes.join(labels, classes["c"] == labels["node"], "left").select("doc_id", "th", "n", F.coalesce("label", "c").alias("label"))
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    joined = named.join(least, "label", "left")
-    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def jaccard_degrees(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc_id, th, n_shingles, n_links (the other rows that it links with, those of equal sets included)."""
-    classes, links, _ = jaccard_links(docs, n, similarity)
-    sizes = settle(classes.where("n > 0").groupBy("c").agg(F.count("*").alias("m")))
+    rows, many, links, labels = jaccard_links(docs, n, similarity)
+    sizes = many.withColumnRenamed("m", "rows")
+    # what is said of classes: those that have links or copies; all others are themselves
     both = links.union(links.select("b", "a")).toDF("c", "to")
-    others = both.join(small_side(sizes).select(F.col("c").alias("to"), "m"), "to").groupBy("c").agg(F.sum("m").alias("others"))
-    counts = settle(sizes.join(others, "c", "left").select("c", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
-    return classes.join(small_side(counts), "c", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's number of links, which the columns of op5_jaccard_join have no place for."""
-    degrees = jaccard_degrees(table(spark, sf_dir, "documents", "doc_id", "text"), 4, Fraction(85, 100))
-    return degrees.select("doc_id", "n_links")
+    copies = both.join(small_side(sizes).select(F.col("c").alias("to"), "rows"), "to", "left")
+    others = copies.groupBy("c").agg(F.sum(F.coalesce("rows", F.lit(1))).alias("others"))
+    known = others.join(labels.withColumnRenamed("node", "c"), "c", "full").join(sizes, "c", "full")
+    known = settle(known.select("c", F.coalesce("label", "c").alias("label"), (F.coalesce("rows", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("rows", F.lit(1)).alias("m")))
+    named = fan_join(rows, known, "c", "m", "rid").withColumn("label", F.coalesce("label", "c"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    groups = fan_join(rows, known, "c", "m", "rid").where("label is not null").groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("size"))
+    joined = fan_join(named, settle(groups), "label", "size", "rid")
+    first = F.col("best").isNull() | F.struct("doc_id", "th").eqNullSafe(F.struct("best.doc_id", "best.th"))
+    least = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return joined.select("doc_id", "th", F.col("n").alias("n_shingles"), least.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text"), 4, Fraction(85, 100))
-    return groups.select("doc_id", "n_shingles", "component_id")
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")

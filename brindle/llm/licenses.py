@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import table
-from .textkit import ALNUM, LOWER, Words, buffers, chunks, family, task
+from .textkit import ALNUM, LOWER, Words, buffers, chunks, runs, task
 
 #: Words of a rolling gram.
 GRAM = 3
@@ -85,11 +85,7 @@ class TemplateSet:
 def gram_hashes(words: Words) -> tuple[np.ndarray, ...]:
     """Row, place in the row, and two hashes of each run of GRAM words."""
     start, row = words.grams(GRAM)
-    hashes = []
-    for seed in SEEDS:
-        f = family(seed)
-        hashes.append(f.span(f.sums(words.hashes(seed)), start, start + GRAM))
-    return (row, start - words.first[row], *hashes)
+    return (row, start - words.first[row], *(runs(words.hashes(seed), GRAM, seed)[start] for seed in SEEDS))
 
 
 def _mask(names: str) -> int:

@@ -2,8 +2,7 @@
 
 Everything works on Arrow string columns without building Python strings: a
 column is a UTF-8 buffer with row offsets, words are byte ranges in it, and
-hashes of words and of word runs come from wrapping polynomial prefix sums, so
-any word range of a row is hashed in constant time.
+words and runs of words are hashed in a few vector steps.
 """
 
 from __future__ import annotations
@@ -12,11 +11,15 @@ import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Lanes of eight bytes up to which words are hashed as vectors, and masks of the bytes of a lane that belong to a word.
+LANES = 16
+MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 #: Bytes of text handled at once: temporaries take some twenty times as much.
 CHUNK_BYTES = 1 << 20
 
@@ -73,48 +76,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Family:
-    """One polynomial hash function over bytes and over words."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
-        self._base, self._inverse = base % (1 << 64), pow(base, -1, 1 << 64)
-        self._powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._powers[0]) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            made = []
-            for base in (self._base, self._inverse):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                made.append(np.multiply.accumulate(steps))
-            self._powers = (made[0], made[1])
-        return self._powers
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums (one longer than values) from which span() hashes ranges."""
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers(len(values) + 1)[0][: len(values)], out=out[1:])
-        return out
+@lru_cache(16)
+def _keys(seed: int) -> np.ndarray:
+    """Odd multipliers and offsets of one hash function."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
-    def span(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.powers(len(sums))[1][start])
+def runs(words: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """A hash of each run of k consecutive word hashes (len - k + 1 of them, rows not told apart).
 
+    Runs of 1, 2, 4, ... words are joined pairwise, each join ending in a
+    non-linear mix, so no pattern of words collides by construction.
+    """
+    if len(words) < k or k < 1:
+        return words[:0]
+    times, made, size, held, done = _keys(seed + 1000), None, 0, words, 1
+    while True:
+        if k & done:
+            made = held if made is None else _join(held[: len(held) - size], made[done:], times)
+            size += done
+        done *= 2
+        if done > k:
+            return mix(made ^ np.uint64(int(times[3]) * k % (1 << 64)))
+        half = done // 2
+        held = _join(held[: len(held) - half], held[half:], times)
 
-@lru_cache(4)
-def family(seed: int) -> Family:
-    return Family(seed)
+
+def _join(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mix(a[:n] * times[0] + (b[:n] ^ times[1]))
 
 
 class Words:
     """The words of some rows: byte ranges [start, end), and first[i]:first[i + 1] are row i's."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, mask: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        mask = inside[data]
+        mask = inside[data] if mask is None else mask
         if len(data):
             rows = offsets[:-1][offsets[:-1] < len(data)]
             begins = mask.copy()
@@ -132,8 +130,33 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, seed: int) -> np.ndarray:
-        f = family(seed)
-        return f.span(f.sums(f.table[self.data]), self.start, self.end)
+        """A hash of each word: its bytes in lanes of eight, each mixed in; blake2b of words over LANES lanes."""
+        times, at = _keys(seed), self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        left = self.end - self.start
+        out = mix(left.astype(np.uint64) * times[0] + times[1])
+        key = int(times[2]).to_bytes(8, "little")
+        for i in np.flatnonzero(left > 8 * LANES).tolist():
+            out[i] = int.from_bytes(blake2b(padded[at[i] : self.end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        live = slice(None) if len(left) == 0 or left.max() <= 8 * LANES else np.flatnonzero(left <= 8 * LANES)
+        at, left, held = at[live], left[live], out[live]
+        kept: list[np.ndarray] = []
+        while True:
+            held = mix((held ^ (lanes[at] & MASKS[np.minimum(left, 8)])) * times[2] + times[3])
+            more = np.flatnonzero(left > 8)
+            kept.append(held)
+            if not len(more):
+                break
+            kept.append(more)
+            at, left, held = at[more] + 8, left[more] - 8, held[more]
+        held = kept.pop()
+        while kept:  # later lanes' hashes go back to their words
+            more, before = kept.pop(), kept.pop()
+            before[more] = held
+            held = before
+        out[live] = held
+        return out
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the runs of k words that lie within a row, and the rows they belong to."""

@@ -219,16 +219,17 @@ def test_jaccard_of_a_large_group(spark, monkeypatch):
     assert bag(map(tuple, got)) == groups(rows, 4, Fraction(85, 100))
 
 
-@pytest.mark.parametrize("dense", [0, 10**6])
-def test_jaccard_overlaps(monkeypatch, dense):
-    monkeypatch.setattr(jaccard, "DENSE", dense)
-    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+@pytest.mark.parametrize("few, columns", [(12, 4096), (1, 7), (3, 5)])
+def test_jaccard_products(monkeypatch, few, columns):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
     rng = np.random.default_rng(3)
     rows = [np.unique(rng.integers(-30, 30, rng.integers(1, 40))) for _ in range(20)] + [np.array([99])]
-    a, b = (x.ravel() for x in np.indices((21, 21)))
-    keep = a != b
-    a, b = a[keep], b[keep]
-    assert jaccard._overlaps(rows, a, b).tolist() == [len(set(rows[i]) & set(rows[j])) for i, j in zip(a, b, strict=True)]
+    every = np.array([(i, j) for i in range(21) for j in range(21) if i != j])
+    for t in (Fraction(1, 3), Fraction(1, 2), Fraction(9, 10)):
+        for pairs in (every, every[::17], every[:1]):
+            sets = [(set(rows[i].tolist()), set(rows[j].tolist())) for i, j in pairs]
+            assert jaccard._overlaps(rows, pairs[:, 0], pairs[:, 1], t).tolist() == [len(x & y) >= t * len(x | y) for x, y in sets]
 
 
 @pytest.mark.parametrize("narrow, block", [(48, 500), (4, 16), (2, 7)])
@@ -252,9 +253,9 @@ def test_jaccard_links_are_all(spark, monkeypatch, narrow, block):
 
     t = Fraction(85, 100)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_degrees(df, 4, t).collect()}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_groups(df, 4, t).collect()}
     assert got == {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
-    classes, links, _ = jaccard.jaccard_links(df, 4, t)
+    classes, _, links, _ = jaccard.jaccard_links(df, 4, t)
     one = {r["c"]: sets[r["doc_id"]] for r in classes.where("n > 0").collect()}
     want = {(a, b) for a in one for b in one if a < b and linked(one[a], one[b])}
     found = [tuple(r) for r in links.select("a", "b").collect()]
