@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from brindle.llm.cluster import settle, short_batches, small_side
+from brindle.llm.cluster import forget, settle, shared_folder, short_batches, small_side
 from brindle.llm.jaccard import jaccard_groups
 from brindle.llm.mixing import mix_sources
 from brindle.llm.packing import pack_documents
@@ -30,12 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group that five-word shingles link at 0.8 or more; of repeated rows, one."""
+    """The document of the least id of each group that five-word shingles link at 0.8 or more; of repeated rows, one.
+
+    Rows with a null id stay where no other row of their group has one; texts
+    without words are groups of their own; an empty table gives none.
+    """
     short_batches(spark)
-    groups = jaccard_groups(docs).where("n_shingles > 0")
-    best = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("best"))
-    left = groups.join(best, groups["component_id"].eqNullSafe(best["component_id"])).where(~F.struct("doc_id", "th").eqNullSafe(F.col("best")))
-    dropped = settle(left.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    groups = jaccard_groups(docs)
+    dropped = settle(groups.where("not first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     key = F.xxhash64(F.col("text").cast("string"))
     kept = docs.select(*COLUMNS).join(small_side(dropped), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__th")), "left_anti")
     # rows that are the same in id and text: all but one of each go, which few documents are looked up for
@@ -63,7 +65,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 2048 tokens."""
     short_batches(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=120_000)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("repeated_spans", repeated_spans), ("mixing", mixing), ("packing", packing)]
@@ -75,12 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is a table in the shared folder before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        settle(spark.range(1))  # sets a folder where the session names none
-        folder = spark.sparkContext.getCheckpointDir()
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        forget(spark)  # the stage's own tables have been read
         docs = spark.read.parquet(f"{at}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
