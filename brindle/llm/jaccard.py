@@ -10,13 +10,14 @@ can have entries:
    places. Each class of wide columns lies in one block (its widest column, its
    size level, a tile of BLOCK classes); two blocks with a wide column in common
    are a block of the product, once, however many columns they share.
-2. Bitmaps of the sets bound each pair's overlap in such blocks, all at once.
+2. Bitmaps of the sets bound each pair's overlap.
 3. What is left is multiplied out: blocks of whole rows, where shared columns
    add up to overlap counts, and pairs leave as soon as the columns to come
    can't bring them to the overlap that their sizes ask for.
 
-All links between classes are found; in a group of near copies they are as
-many as its pairs.
+All links between classes are found and counted. In a group of near copies
+they are as many as its pairs, so a block gives each class's number of links
+and a spanning part of the links, unless a caller wants every one.
 """
 
 from __future__ import annotations
@@ -39,11 +40,13 @@ from .textkit import LOWER, SPACED, Words, buffers, chunks, runs, task
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 #: Columns of at most so many classes give pairs; classes of a block.
 NARROW, BLOCK = 48, 500
+#: Shingles of the rows of a block.
+BLOCK_GRAMS = 1 << 20
 #: Rows for each partition of the tables of pairs.
 PART_ROWS = 20_000
 #: Frequent columns that get a place of their own at the end of the order, shingles counted at once, and the count from which
 #: rows of a column are dealt out over many tasks before they are grouped.
-FREQUENT, COUNTED, HOT = 100_000, 1 << 21, 2_000
+FREQUENT, COUNTED, HOT = 100_000, 1 << 20, 2_000
 #: Columns that are multiplied at once, and the most classes of a column whose pairs are added up one by one.
 COLUMNS, FEW = 4096, 12
 SEED = 23
@@ -111,7 +114,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             held.clear()
 
         for batch in batches:
-            for part in chunks(batch, "grams", 8 << 20):
+            for part in chunks(batch, "grams", 2 << 20):
                 held.append(buffers(part.column("grams"))[0].view(np.int64).copy())
                 if sum(map(len, held)) > COUNTED:
                     yield from flush()
@@ -130,7 +133,7 @@ def _postings(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.ndarr
     @task("jaccard")
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "grams", 8 << 20):
+            for part in chunks(batch, "grams", 2 << 20):
                 data, bounds = buffers(part.column("grams"))
                 s, n = data.view(np.int64), np.diff(bounds) // 8
                 row = np.repeat(np.arange(len(n)), n)
@@ -228,18 +231,44 @@ def _may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, t: Fraction) -> n
     return _links(np.minimum(np.minimum(n, m), (n + m - apart) // 2), n, m, t)
 
 
-def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows, sizes, links, labels): rid, doc_id, th, n and class c of each row of docs; the rows m of each class; all links
-    (a, b), a < b, between different classes, each once; and components (node, label) of these."""
+RESULT = "a long, b long, links long"
+
+
+def _result(c: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, every: bool) -> pd.DataFrame:
+    """What a block says of its links between rows a and b: all of them, or a star for each component, as (a, b); and as (a, links)
+    with how many rows of docs each class links."""
+    links = np.bincount(a, m[b], len(c)) + np.bincount(b, m[a], len(c))
+    root = np.arange(len(c))
+    if not every:
+        while True:
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        a, b = np.flatnonzero(root != np.arange(len(c))), root[root != np.arange(len(c))]
+    of = np.flatnonzero(links)
+    first, second = np.r_[np.minimum(c[a], c[b]), c[of]], np.r_[np.maximum(c[a], c[b]), np.zeros(len(of), np.int64)]
+    counts = np.r_[np.zeros(len(a)), links[of]].astype(np.int64)
+    return pd.DataFrame({"a": first, "b": pd.array(second, "Int64"), "links": pd.array(counts, "Int64")}).assign(b=lambda d: d["b"].mask(d["links"] > 0), links=lambda d: d["links"].mask(d["links"] == 0))
+
+
+def jaccard_links(docs: DataFrame, n: int, t: Fraction, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, sizes, links, degrees, labels): rid, doc_id, th, n and class c of each row of docs; the rows m of classes of more than
+    one; the links (a, b), a < b, between different classes, each once, or only a spanning part of them; the rows of docs that each
+    class links with; and components (node, label) of the links."""
     text = F.col("text").cast("string")
     sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")), n))
     # a class is named by one of its rows; a key that a large part of all rows have is counted where they are
     many = settle(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("c"), F.count("*").alias("m")).where("m > 1"))
     rows = fan_join(sets.select("rid", "doc_id", "th", "n", "key"), many, "key", "m", "rid").select("rid", "doc_id", "th", "n", F.coalesce("c", "rid").alias("c"))
     again = settle(rows.where("rid <> c and n > 0").select("rid"))
-    distinct = sets.where("n > 0").join(small_side(again), "rid", "left_anti").select(F.col("rid").alias("c"), "n", "grams")
+    single = sets.where("n > 0").join(small_side(again), "rid", "left_anti").select(F.col("rid").alias("c"), "n", "grams")
+    distinct = single.join(small_side(many.select("c", "m")), "c", "left").withColumn("m", F.coalesce("m", F.lit(1)))
 
-    columns = settle(_columns(_postings(distinct, t, _frequent(distinct)), t))
+    columns = settle(_columns(_postings(single, t, _frequent(single)), t))
     parts = 1 + columns.count() // PART_ROWS  # of the small tables that are made of them
 
     def small(df: DataFrame) -> DataFrame:
@@ -250,9 +279,27 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
 
     pairs = small(columns.where("a is not null").select("a", "b").distinct())
     wide = columns.where("gram is not null").select("gram", "c", "n")
-    blocks = None if wide.isEmpty() else small(_blocks(wide, t))
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
-    bits = settle(_bitmaps(described(nodes if blocks is None else nodes.union(blocks.select("c")))))
+    found = None
+    if not wide.isEmpty():
+        blocks = small(_blocks(wide, t))
+        met = settle(_met(wide, blocks))
+        found = _block_links(blocks, met, described(blocks.select("c")), t, every)
+        # pairs that have a block don't need to be tried on their own
+        one, other = (blocks.select(F.col("c").alias(k), F.col("block").alias(f"{k}_block")) for k in "ab")
+        at = [F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j")]
+        placed = pairs.join(small_side(one), "a", "left").join(small_side(other), "b", "left").withColumn("both", F.col("a_block").isNotNull() & F.col("b_block").isNotNull()).select("a", "b", *[F.when(F.col("both"), x).alias(k) for x, k in zip(at, "ij", strict=True)])
+        pairs = placed.join(small_side(met), ["i", "j"], "left_anti").select("a", "b")
+    found_alone = _verified(small(_tried(pairs, described, t)), described, t, every)
+    found = settle((found_alone if found is None else found_alone.union(found)).coalesce(parts))
+    links = found.where("b is not null").select("a", "b")
+    degrees = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
+    return rows, many.select("c", "m"), links, degrees, components(links)
+
+
+def _tried(pairs: DataFrame, described, t: Fraction) -> DataFrame:
+    """The pairs whose bitmaps may link."""
+    pairs = settle(pairs)
+    bits = settle(_bitmaps(described(pairs.select(F.col("a").alias("c")).union(pairs.select("b")))))
     one, other = (bits.select(F.col("c").alias(k), F.col("bits").alias(f"d{k}")) for k in "ab")
 
     @task("jaccard")
@@ -263,11 +310,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Data
                 apart = np.bitwise_count(on_a ^ on_b).sum(1, dtype=np.int64)
                 yield batch.select(["a", "b"]).filter(pa.array(_may_link(size_a, size_b, apart, t)))
 
-    candidates = pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long")
-    if blocks is not None:
-        candidates = candidates.union(_block_pairs(wide, blocks, bits, t)).distinct()
-    links = settle(_verified(small(candidates), described, t).coalesce(parts))
-    return rows, many.select("c", "m"), links, components(links)
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long")
 
 
 def _blocks(wide: DataFrame, t: Fraction) -> DataFrame:
@@ -275,41 +318,49 @@ def _blocks(wide: DataFrame, t: Fraction) -> DataFrame:
     widths = settle(wide.groupBy("gram").agg(F.count("*").alias("width")))
     home = fan_join(wide, widths.withColumn("size", F.col("width")), "gram", "size", "c").groupBy("c").agg(F.max(F.struct("width", "gram")).alias("home"), F.first("n").alias("n"))
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(t.denominator / t.numerator)))).cast("int")
-    members = settle(home.select("c", F.col("home.gram").alias("home"), level.alias("level")))
-    sizes = members.groupBy("home", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles"), F.count("*").alias("size"))
-    named = fan_join(members.withColumn("at", F.struct("home", "level")), settle(sizes.select(F.struct("home", "level").alias("at"), "tiles", "size")), "at", "size", "c")
+    members = settle(home.select("c", "n", F.col("home.gram").alias("home"), level.alias("level")))
+    tiles = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    sizes = members.groupBy("home", "level").agg(tiles.alias("tiles"), F.count("*").alias("size"))
+    named = fan_join(members, settle(sizes), ["home", "level"], "size", "c")
     return named.select("c", F.xxhash64("home", "level", F.pmod(F.xxhash64("c"), "tiles")).alias("block"), "level")
 
 
-def _block_pairs(wide: DataFrame, blocks: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b), a < b, that bitmaps leave in the blocks of the product that wide columns make non-zero. Levels of sizes
-    that can't link don't meet."""
+def _met(wide: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks (i, j), i <= j, of the product that wide columns make non-zero. Levels of sizes that can't link don't meet."""
     held = settle(wide.select("gram", "c").join(small_side(blocks), "c").select("gram", "block", "level").distinct())
     x, y = held.alias("x"), held.alias("y")
-    met = x.join(y, F.expr("x.gram = y.gram and x.block <= y.block and abs(x.level - y.level) <= 1")).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
-    met = settle(met)
+    return x.join(y, F.expr("x.gram = y.gram and x.block <= y.block and abs(x.level - y.level) <= 1")).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct()
+
+
+def _block_links(blocks: DataFrame, met: DataFrame, sets: DataFrame, t: Fraction, every: bool) -> DataFrame:
+    """The links in the blocks of the product, each pair of classes in one block only."""
     members = blocks.select("c", "block")
     sides = met.join(members, F.col("i") == F.col("block")).select("i", "j", "c", F.lit(0).alias("side")).union(met.where("i <> j").join(members, F.col("j") == F.col("block")).select("i", "j", "c", F.lit(1)))
 
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        same = key[0] == key[1]
-        x, y = rows[rows["side"] == 0], rows[rows["side"] == (0 if same else 1)]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        (n, on), (m, to) = _unpacked(list(x["bits"])), _unpacked(list(y["bits"]))
-        on, to = (np.unpackbits(v, axis=1).astype(np.float32) for v in (on, to))
-        apart = np.rint(on.sum(1)[:, None] + to.sum(1)[None, :] - 2 * (on @ to.T)).astype(np.int64)
-        a, b = x["c"].to_numpy(), y["c"].to_numpy()
-        ok = _may_link(n[:, None], m[None, :], apart, t) & (a[:, None] < b[None, :] if same else True)
-        at, into = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(a[at], b[into]), "b": np.maximum(a[at], b[into])})
-
-    return sides.join(bits, "c").groupBy("i", "j").applyInPandas(block, "a long, b long")
-
-
-def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
+        rows = rows.sort_values(["side", "c"])
+        same, split = key[0] == key[1], int((rows["side"] == 0).sum())
+        c, m, n = (rows[x].to_numpy() for x in ("c", "m", "n"))
+        grams = [np.frombuffer(g, np.int64) for g in rows["grams"]]
+        on = np.zeros((len(grams), BITS), np.float32)
+        on[np.repeat(np.arange(len(grams)), n), np.concatenate(grams).view(np.uint64) % np.uint64(BITS)] = 1
+        x, y = (slice(0, split), slice(0, split) if same else slice(split, len(grams)))
+        held = on.sum(1)
+        apart = np.rint(held[x, None] + held[None, y] - 2 * (on[x] @ on[y].T)).astype(np.int64)
+        ok = _may_link(n[x, None], n[None, y], apart, t)
+        a, b = np.nonzero(np.triu(ok, 1) if same else ok)
+        b = b if same else b + split
+        hit = _overlaps(grams, a, b, t, None if same else split)
+        return _result(c, m, a[hit], b[hit], every)
+
+    return sides.join(sets, "c").groupBy("i", "j").applyInPandas(block, RESULT)
+
+
+def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction, split: int | None = None) -> np.ndarray:
     """Which pairs of rows (a, b) link: overlap counts added up over blocks of columns, rare columns pair by pair and others as
-    products, until no pair can link any more."""
+    products, until no pair can link any more. With a split, a lies before it in rows and b behind."""
+    if not len(a):
+        return np.zeros(0, bool)
     size = np.array([len(r) for r in rows], np.int64)
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
     order = np.argsort(flat, kind="stable")
@@ -356,7 +407,8 @@ def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction)
             for at in range(0, len(live), 256):
                 total[live[at : at + 256]] += np.einsum("ij,ij->i", part[x[at : at + 256]], part[y[at : at + 256]]).astype(np.int64)
         else:
-            total[live] += np.rint(part @ part.T)[x, y].astype(np.int64)
+            product = part @ part.T if split is None else part[:split] @ part[split:].T
+            total[live] += np.rint(product[x, y if split is None else y - split]).astype(np.int64)
         to_come -= np.bincount(r[from_:to], minlength=len(rows))
     return _links(total, n, m, t)[np.searchsorted(wanted, a * len(rows) + b)]
 
@@ -367,7 +419,7 @@ def _tiled(df: DataFrame, tiles: str) -> DataFrame:
     return spread.select("*", F.least("t", "k").alias("i"), F.greatest("t", "k").alias("j")).drop("k")
 
 
-def _verified(candidates: DataFrame, described, t: Fraction) -> DataFrame:
+def _verified(candidates: DataFrame, described, t: Fraction, every: bool) -> DataFrame:
     """The candidates that link. Components of candidates are met in blocks: small ones several at a time, large ones by tiles,
     so that a row travels once for each block and not for each pair."""
     near = components(candidates)
@@ -382,17 +434,16 @@ def _verified(candidates: DataFrame, described, t: Fraction) -> DataFrame:
     other = side.select(F.col("c").alias("b"), F.col("t").alias("tb"))
     keys = ["large", "part", "i", "j"]
     asked = candidates.join(one, "a").join(other, "b").select("a", "b", "large", "part", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"))
-    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "grams"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "grams")
+    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "m", "grams"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "m", "grams")
 
     def verify(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
-            return pairs[["a", "b"]]
         place = pd.Index(rows["c"])
         grams = [np.frombuffer(g, np.int64) for g in rows["grams"]]
         a, b = place.get_indexer(pairs["a"]), place.get_indexer(pairs["b"])
-        return pairs[_overlaps(grams, a, b, t)][["a", "b"]]
+        hit = _overlaps(grams, a, b, t)
+        return _result(rows["c"].to_numpy(), rows["m"].to_numpy(), a[hit], b[hit], every)
 
-    return asked.groupBy(*keys).cogroup(facing.groupBy(*[f"y_{k}" for k in keys])).applyInPandas(verify, "a long, b long")
+    return asked.groupBy(*keys).cogroup(facing.groupBy(*[f"y_{k}" for k in keys])).applyInPandas(verify, RESULT)
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -408,14 +459,10 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: Fraction = SIM
     no component_id unless all of a component are null. Empty tables give none;
     other columns are ignored.
     """
-    rows, many, links, labels = jaccard_links(docs, n, similarity)
-    sizes = many.withColumnRenamed("m", "rows")
+    rows, many, _, degrees, labels = jaccard_links(docs, n, similarity, every=False)
     # what is said of classes: those that have links or copies; all others are themselves
-    both = links.union(links.select("b", "a")).toDF("c", "to")
-    copies = both.join(small_side(sizes).select(F.col("c").alias("to"), "rows"), "to", "left")
-    others = copies.groupBy("c").agg(F.sum(F.coalesce("rows", F.lit(1))).alias("others"))
-    known = others.join(labels.withColumnRenamed("node", "c"), "c", "full").join(sizes, "c", "full")
-    known = settle(known.select("c", F.coalesce("label", "c").alias("label"), (F.coalesce("rows", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("rows", F.lit(1)).alias("m")))
+    known = degrees.join(labels.withColumnRenamed("node", "c"), "c", "full").join(many, "c", "full").withColumn("m", F.coalesce("m", F.lit(1)))
+    known = settle(known.select("c", F.coalesce("label", "c").alias("label"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "m"))
     named = fan_join(rows, known, "c", "m", "rid").withColumn("label", F.coalesce("label", "c"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
     groups = fan_join(rows, known, "c", "m", "rid").where("label is not null").groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("size"))

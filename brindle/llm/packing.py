@@ -23,7 +23,7 @@ from .textkit import LOWER, SPACED, Words, buffers, chunks, task
 
 LENGTH = 2048
 #: Pieces whose ranks within their length one task decides, about.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 #: Words that a worker remembers before it starts afresh (some 50 bytes each), and ids of them for each word at most.
 CACHE_WORDS, IDS_PER_WORD = 400_000, 12
 #: White space of more than one byte, as UTF-8 (fixed values, by the Unicode property).
@@ -342,8 +342,8 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     rank0 = before - before[at] if len(table_) else before
     key = table_[:, 0].astype(np.float64) * 2.0**40 + rank0
 
-    buckets = max(1, int(counts.sum()) // ROWS_PER_BUCKET)
-    hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = F.element_at(F.lit([1 + int(n) // ROWS_PER_BUCKET for n in counts]), F.col("length").cast("int") + 1)
+    hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets))
     sums = hashed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     begins = sums.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("begin"))
     ranked = hashed.join(begins, ["length", "bucket"]).withColumn("rank", F.col("begin") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)

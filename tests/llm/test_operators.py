@@ -255,7 +255,7 @@ def test_jaccard_links_are_all(spark, monkeypatch, narrow, block):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_groups(df, 4, t).collect()}
     assert got == {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
-    classes, _, links, _ = jaccard.jaccard_links(df, 4, t)
+    classes, _, links, _, _ = jaccard.jaccard_links(df, 4, t)
     one = {r["c"]: sets[r["doc_id"]] for r in classes.where("n > 0").collect()}
     want = {(a, b) for a in one for b in one if a < b and linked(one[a], one[b])}
     found = [tuple(r) for r in links.select("a", "b").collect()]
