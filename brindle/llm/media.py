@@ -17,10 +17,11 @@ from .cluster import table
 from .textkit import chunks, task
 
 #: Pixels across, rows of a frame, hundredths of a second of a frame.
-WIDTH, ROWS, DELAY = 64, 1024, 10
-#: Literal codes between two clear codes: with so few, code words stay nine bits wide.
-LITERALS = 254
-GREY = bytes(c for i in range(256) for c in (i, i, i))
+WIDTH, ROWS, DELAY = 64, 64, 10
+#: What becomes of a frame's pixels before the next one is drawn, in turn: they stay (1), what was there comes back (3), the place is cleared (2).
+DISPOSALS = (1, 1, 3, 2)
+#: Colours of a pixel value v, by palette, in turn whenever the canvas has been cleared: red is v in all of them, so that the values can be told from the colours shown.
+PALETTES = tuple(np.stack([v, g, b], 1).astype(np.uint8).tobytes() for v in [np.arange(256)] for g, b in ((v, v), (255 - v, v ^ 0x55), (v * 5 % 256, 128 + v // 2)))
 
 
 @dataclass
@@ -46,30 +47,6 @@ class Frame:
         return np.bincount(np.where(p[:, 3] > 0, bins, 64), minlength=65)
 
 
-def _pack_nine(codes: np.ndarray) -> np.ndarray:
-    """Nine-bit codes, lowest bits first, as bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.zeros((len(c), 9), np.uint8)
-    for i in range(8):
-        out[:, i] |= ((c[:, i] << i) & 255).astype(np.uint8)
-        out[:, i + 1] |= (c[:, i] >> (8 - i)).astype(np.uint8)
-    return out.ravel()[: -(-n * 9 // 8)]
-
-
-def _unpack_nine(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    d = np.zeros((-(-n // 8)) * 9, np.uint16)
-    d[: min(len(data), len(d))] = data[: len(d)]
-    d = d.reshape(-1, 9)
-    out = np.empty((len(d), 8), np.uint16)
-    for i in range(8):
-        out[:, i] = ((d[:, i] >> i) | (d[:, i + 1] << (8 - i))) & 511
-    return out.ravel()[:n]
-
-
 def _blocks(data: np.ndarray) -> bytes:
     """Data as sub-blocks of at most 255 bytes, with the closing empty one."""
     full = len(data) // 255
@@ -80,127 +57,163 @@ def _blocks(data: np.ndarray) -> bytes:
     return head.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def lzw_literal(pixels: np.ndarray) -> np.ndarray:
-    """A valid eight-bit LZW stream of literal codes, cleared before code words widen; made without a loop over pixels."""
-    groups = -(-len(pixels) // LITERALS)
-    codes = np.full(groups * (LITERALS + 1), 256, np.uint16)
-    grid = codes.reshape(groups, LITERALS + 1)
-    padded = np.zeros(groups * LITERALS, np.uint16)
-    padded[: len(pixels)] = pixels
-    grid[:, 1:] = padded.reshape(groups, LITERALS)
-    return _pack_nine(np.r_[codes[: groups + len(pixels)], np.uint16(257)])
+def _widths(bits: int) -> np.ndarray:
+    """How many bits the i-th code after a clear code takes: the table has grown by i - 1 entries before it."""
+    made = np.minimum((1 << bits) + 2 + np.maximum(np.arange(4096) - 1, 0), 4095)
+    return np.maximum(np.floor(np.log2(made)).astype(np.int64) + 1, bits + 1)
+
+
+WIDTHS = {bits: _widths(bits) for bits in range(2, 9)}
+LITERALS = {bits: [bytes([i]) for i in range(1 << bits)] + [b"", b""] for bits in range(2, 9)}
+
+
+def _pack(codes: list[int], widths: np.ndarray) -> np.ndarray:
+    """Codes of some widths, lowest bits first, as bytes."""
+    at = np.cumsum(widths) - widths
+    shifted = np.array(codes, np.uint32) << (at & 7).astype(np.uint32)
+    size = int(at[-1] + widths[-1] + 7) // 8
+    # codes meet in a byte at bits of their own, so their sum is what is wanted
+    return sum(np.bincount((at >> 3) + i, shifted >> np.uint32(8 * i) & np.uint32(255), size + 3) for i in range(3))[:size].astype(np.uint8)
 
 
 def lzw_compress(pixels: bytes, bits: int = 8) -> np.ndarray:
-    """The usual table-building LZW stream."""
-    clear, out, used, width = 1 << bits, 0, 0, bits + 1
-    data = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal out, used
-        out |= code << used
-        used += width
-        while used >= 8:
-            data.append(out & 255)
-            out >>= 8
-            used -= 8
-
-    put(clear)
-    codes: dict[tuple[int, int], int] = {}
-    last, free = -1, clear + 2
+    """The table-building LZW stream: a clear code at the start and whenever the table is full."""
+    clear = 1 << bits
+    out, widths, usual = [clear], [np.array([bits + 1])], WIDTHS[bits]
+    codes: dict[int, int] = {}
+    get, put = codes.get, out.append
+    free, since, last = clear + 2, 1, -1
     for p in pixels:
         if last < 0:
             last = p
-        elif (code := codes.get((last, p))) is not None:
-            last = code
-        else:
+            continue
+        pair = last << 8 | p
+        code = get(pair)
+        if code is None:
             put(last)
-            if free < 4096:
-                codes[last, p] = free
-                if free == 1 << width:
-                    width += 1
-                free += 1
-            else:
+            codes[pair] = free
+            free += 1
+            if free == 4096:
                 put(clear)
+                n = len(out) - since
+                widths.append(usual[:n])
+                since = len(out)
                 codes.clear()
-                free, width = clear + 2, bits + 1
+                free = clear + 2
             last = p
+        else:
+            last = code
     if last >= 0:
         put(last)
-        if free < 4096 and free == 1 << width:
-            width += 1
     put(clear + 1)
-    if used:
-        data.append(out & 255)
-    return np.frombuffer(bytes(data), np.uint8)
+    widths.append(usual[: len(out) - since])
+    return _pack(out, np.concatenate(widths))
 
 
 def lzw_decode(data: bytes, bits: int, count: int) -> np.ndarray:
-    """At most `count` pixels of an LZW code stream. Streams of literals only are unpacked at once, others code by code."""
-    clear = 1 << bits
-    if bits == 8 and data:
-        codes = _unpack_nine(np.frombuffer(data, np.uint8))
-        end = np.flatnonzero(codes == clear + 1)
-        if len(end):
-            codes = codes[: end[0]]
-            gaps = np.diff(np.r_[np.flatnonzero(codes == clear), len(codes)])
-            if len(codes) and codes[0] == clear and codes.max() <= clear and gaps.max() <= 256:
-                return codes[codes < clear].astype(np.uint8)[:count]
-    table: list[bytes] = []
+    """At most `count` pixels of an LZW code stream, by its code table. Raises ValueError for what isn't one."""
+    if bits not in WIDTHS:
+        raise ValueError("broken LZW stream")
+    clear, usual = 1 << bits, WIDTHS[bits]
+    raw = np.frombuffer(data + bytes(4), np.uint8)
     out: list[bytes] = []
-    width, made, last = bits + 1, 0, b""
-    held = used = 0
-
-    def reset() -> None:
-        nonlocal table, width, last
-        table = [bytes([i]) for i in range(clear)] + [b"", b""]
-        width, last = bits + 1, b""
-
-    reset()
-    for byte in data:
-        held |= byte << used
-        used += 8
-        while used >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            used -= width
-            if code == clear:
-                reset()
-                continue
-            if code == clear + 1 or made >= count:
-                return np.frombuffer(b"".join(out), np.uint8)[:count]
-            if code < len(table):
+    at, total, made, ended = 0, 8 * len(data), 0, False
+    while not ended and made < count and at < total:
+        # codes up to the next clear code, as if there were none: their widths depend on their number only
+        widths = usual[: min(len(usual), (total - at) // (bits + 1) + 1)]
+        bit = at + np.cumsum(widths) - widths
+        bit, widths = bit[bit + widths <= total], widths[: int((bit + widths <= total).sum())]
+        byte = bit >> 3
+        held = raw[byte].astype(np.uint32) | raw[byte + 1].astype(np.uint32) << np.uint32(8) | raw[byte + 2].astype(np.uint32) << np.uint32(16)
+        codes = (held >> (bit & 7).astype(np.uint32)) & ((np.uint32(1) << widths.astype(np.uint32)) - np.uint32(1))
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if len(stop):
+            ended = bool(codes[stop[0]] == clear + 1)
+            at = int(bit[stop[0]] + widths[stop[0]])
+            codes = codes[: stop[0]]
+        elif not len(codes):
+            break
+        else:
+            at = int(bit[-1] + widths[-1])
+            ended = at >= total or len(codes) < len(usual)
+            if not ended:
+                # a full table goes on with twelve-bit codes until it is cleared
+                more, at = _twelve(raw, at, total, clear)
+                codes = np.r_[codes, more]
+        if not len(codes):
+            continue
+        table, listed = LITERALS[bits].copy(), codes.tolist()
+        n, last, put, grow = clear + 2, table[listed[0]] if listed[0] < clear else b"", out.append, table.append
+        if not last:
+            raise ValueError("broken LZW stream")
+        put(last)
+        for code in listed[1:]:
+            if code < n:
                 entry = table[code]
-            elif last and code == len(table):
+                if n < 4096:
+                    grow(last + entry[:1])
+                    n += 1
+            elif code == n:
                 entry = last + last[:1]
+                grow(entry)
+                n += 1
             else:
                 raise ValueError("broken LZW stream")
-            out.append(entry)
-            made += len(entry)
-            if last and len(table) < 4096:
-                table.append(last + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
+            put(entry)
             last = entry
+        made = sum(map(len, out)) if at < total else count
     return np.frombuffer(b"".join(out), np.uint8)[:count]
 
 
-def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY, compress: bool = False) -> bytes:
-    """Bytes (a positive multiple of `width`) as grey pixels of a GIF, `rows` rows a frame; frames are shown one after another."""
+def _twelve(raw: np.ndarray, at: int, total: int, clear: int) -> tuple[np.ndarray, int]:
+    """Codes of twelve bits from a place on, up to a clear or end code, which is left to be read."""
+    bit = np.arange(at, total - 11, 12)
+    byte = bit >> 3
+    held = raw[byte].astype(np.uint32) | raw[byte + 1].astype(np.uint32) << np.uint32(8)
+    codes = (held | raw[byte + 2].astype(np.uint32) << np.uint32(16)) >> (bit & 7).astype(np.uint32) & np.uint32(4095)
+    stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+    n = int(stop[0]) + 1 if len(stop) else len(codes)
+    end = len(stop) and codes[stop[0]] == clear + 1
+    return codes[: n - 1] if len(stop) else codes, total if end or not len(stop) else at + 12 * n
+
+
+def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY) -> bytes:
+    """Bytes (a positive multiple of `width`) as the pixels of a GIF, `rows` rows a frame; frames are shown one after another.
+
+    Frames take turns in palettes and disposals. Where a pixel has its value
+    already on the canvas, and a value is free to say so, it is transparent.
+    """
     data = np.frombuffer(payload, np.uint8)
     if not len(data) or len(data) % width:
         raise ValueError(f"the payload must be a positive multiple of {width} bytes")
     height = min(len(data) // width, rows)
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), GREY]
-    for at in range(0, len(data), width * rows):
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTES[0]]
+    canvas, colours = np.full(width * height, -1, np.int64), np.full(width * height, -1, np.int64)
+    for i, at in enumerate(range(0, len(data), width * rows)):
         pixels = data[at : at + width * rows]
-        parts += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(pixels) // width, 0), b"\x08"]
-        parts.append(_blocks(lzw_compress(pixels.tobytes()) if compress else lzw_literal(pixels)))
+        palette, disposal, n = i // len(DISPOSALS) % len(PALETTES), DISPOSALS[i % len(DISPOSALS)], len(pixels)
+        same = (canvas[:n] == pixels) & (colours[:n] == palette)
+        unused = np.flatnonzero(np.bincount(pixels, minlength=256) == 0) if same.any() else ()
+        stored, clear = (np.where(same, unused[0], pixels).astype(np.uint8), int(unused[0])) if len(unused) else (pixels, None)
+        parts += [b"\x21\xf9\x04", struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0), b"\0"]
+        parts += [b"\x2c", struct.pack("<HHHHB", 0, 0, width, n // width, 0x87 if palette else 0), PALETTES[palette] if palette else b"", b"\x08"]
+        parts.append(_blocks(lzw_compress(stored.tobytes())))
+        if disposal == 1:
+            canvas[:n], colours[:n] = pixels, palette
+        elif disposal == 2:
+            canvas[:n] = -1
     return b"".join([*parts, b"\x3b"])
 
 
 def decode_gif(media: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, composed on its canvas. Raises ValueError for what isn't one."""
+    """The frames of a GIF, composed on its canvas. Raises ValueError for what isn't one, or ends too early."""
+    try:
+        yield from _decoded(media)
+    except (IndexError, struct.error) as error:
+        raise ValueError("broken GIF") from error
+
+
+def _decoded(media: bytes) -> Iterator[Frame]:
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", media[6:13])
@@ -209,6 +222,8 @@ def decode_gif(media: bytes) -> Iterator[Frame]:
     def palette(size: int) -> np.ndarray:
         nonlocal at
         colours = np.full((1 << (size + 1), 4), 255, np.uint8)
+        if at + 3 * len(colours) > len(media):
+            raise ValueError("broken GIF")
         colours[:, :3] = np.frombuffer(media[at : at + 3 * len(colours)], np.uint8).reshape(-1, 3)
         at += 3 * len(colours)
         return colours
@@ -225,7 +240,7 @@ def decode_gif(media: bytes) -> Iterator[Frame]:
     shared = palette(flags & 7) if flags & 0x80 else None
     canvas = np.zeros((high, wide, 4), np.uint8)
     disposal, delay, clear, now = 0, 0, -1, 0
-    while at < len(media) and media[at] != 0x3B:
+    while media[at] != 0x3B:
         kind = media[at]
         at += 1
         if kind == 0x21:
@@ -272,8 +287,10 @@ def decode_gif(media: bytes) -> Iterator[Frame]:
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, pixels binary, histogram array<long>"
+FRAMES = "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, pixels binary, histogram array<long>, fault string, key long, n_bytes long, media_bytes long, media_sha256 string, n_frames int"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, histogram array<long>"
+#: Frames of a batch of rows.
+BATCH_FRAMES = 256
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -281,8 +298,17 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in schema.split(", "))])
 
 
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_arrow(schema))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _arrow(schema).types, strict=True)], schema=_arrow(schema))
+
+
 def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each text's UTF-8 bytes (null: empty), zero-padded to a positive multiple of the width, as a GIF in column media."""
+    """Each text's UTF-8 bytes (null: empty), zero-padded to a positive multiple of the width, as a GIF in column media.
+
+    One row for each row of docs; equal texts give equal media; a long text is
+    a GIF of many frames; an empty table gives none; other columns are ignored.
+    """
 
     @task("media")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,44 +322,73 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def media_frames(media: DataFrame) -> DataFrame:
-    """A row for each frame of column media: time, size, RGBA pixels of the canvas and colour histogram. Null media have none."""
+    """A row for each frame of column media: its number, time and size, the RGB pixels that the canvas shows in the frame's place and
+    their colour histogram; and what is known of the whole file (key, its number; n_bytes, media_bytes, media_sha256, n_frames).
+
+    Media that are null, or broken (fault says how), give one row with no
+    frame and what came before the fault. Repeated rows have keys of their own;
+    an empty table gives none; other columns are ignored.
+    """
 
     @task("media")
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
         for batch in batches:
-            for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-                for i, f in enumerate(decode_gif(data.as_py()) if data.is_valid else ()):
-                    row = [key, i, f.start_ms, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), f.histogram().tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _arrow(FRAMES).types, strict=True)], schema=_arrow(FRAMES))
-
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(decode, FRAMES)
+            for key, doc_id, n_bytes, data in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "n_bytes", "media")), strict=True):
+                whole = [key, n_bytes, *((None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest()))]
+                n, fault = 0, None
+                try:
+                    for f in decode_gif(data) if data is not None else ():
+                        block = np.ascontiguousarray(f.block[..., :3])
+                        rows.append([doc_id, n, f.start_ms, f.delay_ms, f.width, f.height, block.tobytes(), f.histogram(), None, *whole, None])
+                        n += 1
+                        if len(rows) >= BATCH_FRAMES:
+                            yield _batch(rows, FRAMES)
+                            rows = []
+                except ValueError as error:
+                    fault = str(error)
+                # the last row says that all frames are there
+                rows.append([doc_id, *[None] * 7, fault, *whole, n])
+        yield _batch(rows, FRAMES)
+
+    return media.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(decode, FRAMES)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Reads stored media back: a row each with digests of the payload and of the file, duration and summed colour histogram.
+    """Reads stored media back, from the rows of their frames: a row each with digests of the payload and of the file, duration and
+    summed colour histogram.
 
-    Null media give null digests; repeated rows give repeated results.
+    Null and broken media give null digests; repeated rows give repeated
+    results; an empty table gives none.
     """
 
-    def digest(key: int | None, size: int | None, data: bytes | None) -> list:
-        if data is None:
-            return [key, size, *[None] * 9]
-        frames, hist, ms, payload = 0, np.zeros(65, np.int64), 0, []
-        for f in decode_gif(data):
-            frames, hist, ms = frames + 1, hist + f.histogram(), f.start_ms + f.delay_ms
-            payload.append(np.ascontiguousarray(f.block[..., 0]).tobytes())
-        stored = b"".join(payload)
-        shown = ",".join(f"{i}:{hist[i]}" for i in np.flatnonzero(hist))
-        return [key, size, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"gif;frames={frames};ms={ms};histogram={shown}", frames, ms, hist.tolist()]
-
     @task("media")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a file's rows follow each other in one task, its last one closes it
+        payload, tail, size, hist, ms = hashlib.sha256(), b"", 0, np.zeros(65, np.int64), 0
         for batch in batches:
-            for part in chunks(batch, "media"):
-                rows = [digest(*r) for r in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _arrow(DIGEST).types, strict=True)], schema=_arrow(DIGEST))
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, DIGEST)
+            rows = []
+            names = ("doc_id", "start_ms", "delay_ms", "pixels", "fault", "n_bytes", "media_bytes", "media_sha256", "n_frames")
+            held = dict(zip(names, (batch.column(c).to_pylist() for c in names), strict=True))
+            counts = batch.column("histogram")
+            flat, at = counts.flatten().to_numpy(), np.cumsum(np.r_[0, counts.is_valid().to_numpy(False).astype(np.int64)]) * 65
+            for i in range(batch.num_rows):
+                if held["n_frames"][i] is None:
+                    values = held["pixels"][i][::3]  # red is the value
+                    payload.update(values)
+                    size, tail, hist, ms = size + len(values), (tail + values)[-64:], hist + flat[at[i] : at[i + 1]], held["start_ms"][i] + held["delay_ms"][i]
+                    continue
+                base = [held[c][i] for c in ("doc_id", "n_bytes")]
+                if held["media_bytes"][i] is None or held["fault"][i]:
+                    rows.append([*base, None, None, None, held["media_bytes"][i], held["media_sha256"][i], None, None, None, None])
+                else:
+                    n = held["n_frames"][i]
+                    shown = ",".join(f"{k}:{hist[k]}" for k in np.flatnonzero(hist))
+                    rows.append([*base, size, payload.hexdigest(), zlib.crc32(tail), held["media_bytes"][i], held["media_sha256"][i], f"gif;frames={n};ms={ms};histogram={shown}", n, ms, hist.tolist()])
+                payload, tail, size, hist, ms = hashlib.sha256(), b"", 0, np.zeros(65, np.int64), 0
+            yield _batch(rows, DIGEST)
+
+    return media_frames(media).mapInArrow(read, DIGEST)
 
 
 def op2_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,14 +75,103 @@ def test_word_ids_are_the_librarys():
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("compress", [False, True])
-def test_gif_round_trip(compress):
+def read_gif(data):
+    """A decoder of its own, bit by bit and pixel by pixel: the canvases (index of no colour: None) and delays of a GIF."""
+    wide, high, flags = data[6] | data[7] << 8, data[8] | data[9] << 8, data[10]
+    at, shared, out, control = 13, None, [], (0, 0, None)
+
+    def colours(flags):
+        nonlocal at
+        n = 2 << (flags & 7)
+        made = [tuple(data[at + 3 * i : at + 3 * i + 3]) for i in range(n)]
+        at += 3 * n
+        return made
+
+    def body():
+        nonlocal at
+        held = b""
+        while data[at]:
+            held += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        return held
+
+    if flags & 128:
+        shared = colours(flags)
+    canvas = [None] * (wide * high)
+    while data[at] != 0x3B:
+        kind, at = data[at], at + 1
+        if kind == 0x21:
+            label, at = data[at], at + 1
+            b = body()
+            if label == 0xF9:
+                control = (b[0] >> 2 & 7, b[1] | b[2] << 8, b[3] if b[0] & 1 else None)
+            continue
+        left, top, w, h = (data[at + i] | data[at + i + 1] << 8 for i in (0, 2, 4, 6))
+        local, at = data[at + 8], at + 9
+        palette = colours(local) if local & 128 else shared
+        bits, at = data[at], at + 1
+        stream = body()
+        place, width, table, last, pixels = 0, bits + 1, None, None, []
+        while True:
+            code = sum((stream[(place + i) >> 3] >> ((place + i) & 7) & 1) << i for i in range(width))
+            place += width
+            if code == 1 << bits:
+                table, width, last = [[i] for i in range(1 << bits)] + [None, None], bits + 1, None
+                continue
+            if code == (1 << bits) + 1:
+                break
+            entry = table[code] if code < len(table) else last + last[:1]
+            pixels += entry
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = entry
+        disposal, delay, clear = control
+        before = list(canvas)
+        for i, p in enumerate(pixels[: w * h]):
+            if p != clear:
+                canvas[(top + i // w) * wide + left + i % w] = palette[p]
+        out.append((list(canvas), delay, (left, top, w, h)))
+        for i in range(w * h):
+            if disposal == 2:
+                canvas[(top + i // w) * wide + left + i % w] = None
+        if disposal == 3:
+            canvas = before
+        control = (0, 0, None)
+    return out
+
+
+def test_gif_round_trip():
     rng = np.random.default_rng(3)
-    for n in (64, 640, 64 * 1024, 64 * 1030):
-        payload = rng.integers(0, 256 if n < 70000 else 3, n, dtype=np.uint8).tobytes()
-        frames = list(media.decode_gif(media.encode_gif(payload, compress=compress)))
-        assert b"".join(f.block[..., 0].tobytes() for f in frames) == payload
-        assert [f.start_ms for f in frames] == [100 * i for i in range(len(frames))]
+    text = ("The quick brown fox jumps over the lazy dog. " * 400).encode()
+    for payload in (bytes(64), rng.integers(0, 256, 64 * 10, dtype=np.uint8).tobytes(), rng.integers(0, 256, 64 * 70, dtype=np.uint8).tobytes(), rng.integers(0, 3, 64 * 200, dtype=np.uint8).tobytes(), text[: 64 * 250], text[: 64 * 32] * 5):
+        for rows in (32, 4, 1024):
+            gif = media.encode_gif(payload, rows=rows)
+            frames, own = list(media.decode_gif(gif)), read_gif(gif)
+            assert b"".join(f.block[..., 0].tobytes() for f in frames) == payload
+            assert [f.start_ms for f in frames] == [100 * i for i in range(len(frames))] and len(own) == len(frames)
+            for f, (canvas, delay, place) in zip(frames, own, strict=True):
+                assert (f.delay_ms, (f.left, f.top, f.width, f.height)) == (10 * delay, place)
+                assert [tuple(c[:3]) if c[3] else None for c in f.canvas.reshape(-1, 4).tolist()] == canvas
+                assert f.histogram().sum() == len(canvas) and f.histogram()[64] == canvas.count(None)
+    full = rng.integers(0, 256, 64 * 1024, dtype=np.uint8).tobytes()  # a code table that fills up
+    assert next(media.decode_gif(media.encode_gif(full, rows=1024))).block[..., 0].tobytes() == full
+    kinds = {gif[i + 3] for gif in (media.encode_gif(b"aabacab " * 8 * 100, rows=4),) for i in range(len(gif) - 4) if gif[i : i + 3] == b"\x21\xf9\x04"}
+    assert {4 | 1, 12 | 1, 8 | 1} <= kinds  # transparent pixels occur under each disposal
+
+
+def test_broken_gifs(spark):
+    good = media.encode_gif(b"abcd" * 1000 + bytes(96))
+    for n in (0, 5, 12, 300, 800, len(good) - 1):
+        with pytest.raises(ValueError):
+            list(media.decode_gif(good[:n]))
+    df = spark.createDataFrame([(1, 4000, good), (2, 4000, good[:-1]), (3, 0, None), (4, 4, b"nope"), (5, 4000, good)], "doc_id long, n_bytes long, media binary").repartition(1)
+    got = {r["doc_id"]: r for r in media.media_digests(df).collect()}
+    assert {d: r["payload_bytes"] for d, r in got.items()} == {1: 4096, 2: None, 3: None, 4: None, 5: 4096}
+    assert got[1]["payload_sha256"] == got[5]["payload_sha256"] == hashlib.sha256(b"abcd" * 1000 + bytes(96)).hexdigest()
+    assert media.media_digests(df.limit(0)).count() == 0 and media.text_media(df.limit(0).withColumn("text", F.lit("x"))).count() == 0
 
 
 def test_gif_transparency_and_disposal():
