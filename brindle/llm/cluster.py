@@ -79,12 +79,14 @@ def fan_join(big: DataFrame, facts: DataFrame, on: str | list[str], size: str, s
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Readies the session for Python workers: they find this package beside the driver's path, and texts go to them in small
-    Arrow batches, so that what waits on either side stays a few megabytes, and at most BATCH_BYTES."""
+    """Readies the session for Python workers: they find this package beside the driver's path, use one thread each (a worker has
+    one core), and texts go to them in small Arrow batches, so that what waits on either side stays a few megabytes, and at most
+    BATCH_BYTES."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    environment["OPENBLAS_NUM_THREADS"] = environment["OMP_NUM_THREADS"] = "1"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

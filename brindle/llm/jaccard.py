@@ -222,6 +222,12 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("c", "grams").mapInArrow(make, "c long, bits binary")
 
 
+def _bitmap(grams: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[grams.view(np.uint64) % np.uint64(BITS)] = True
+    return np.uint32(len(grams)).tobytes() + np.packbits(bits).tobytes()
+
+
 def _unpacked(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), 4 + BITS // 8)
     return np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int64), rows[:, 4:]
@@ -333,26 +339,36 @@ def _met(wide: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _block_links(blocks: DataFrame, met: DataFrame, sets: DataFrame, t: Fraction, every: bool) -> DataFrame:
-    """The links in the blocks of the product, each pair of classes in one block only."""
+    """The links in the blocks of the product, each pair of classes in one block only. Bitmaps come to a block first; whole rows only
+    of classes for which they leave a partner there."""
     members = blocks.select("c", "block")
     sides = met.join(members, F.col("i") == F.col("block")).select("i", "j", "c", F.lit(0).alias("side")).union(met.where("i <> j").join(members, F.col("j") == F.col("block")).select("i", "j", "c", F.lit(1)))
 
-    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "c"])
-        same, split = key[0] == key[1], int((rows["side"] == 0).sum())
-        c, m, n = (rows[x].to_numpy() for x in ("c", "m", "n"))
-        grams = [np.frombuffer(g, np.int64) for g in rows["grams"]]
-        on = np.zeros((len(grams), BITS), np.float32)
-        on[np.repeat(np.arange(len(grams)), n), np.concatenate(grams).view(np.uint64) % np.uint64(BITS)] = 1
-        x, y = (slice(0, split), slice(0, split) if same else slice(split, len(grams)))
+    def possible(rows: pd.DataFrame, bits: list[bytes], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        split = int((rows["side"] == 0).sum())
+        (n, on) = _unpacked(bits)
+        on = np.unpackbits(on, axis=1).astype(np.float32)
+        x, y = (slice(0, split), slice(0, split) if same else slice(split, len(rows)))
         held = on.sum(1)
         apart = np.rint(held[x, None] + held[None, y] - 2 * (on[x] @ on[y].T)).astype(np.int64)
         ok = _may_link(n[x, None], n[None, y], apart, t)
         a, b = np.nonzero(np.triu(ok, 1) if same else ok)
-        b = b if same else b + split
+        return a, b if same else b + split
+
+    def keep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "c"])
+        a, b = possible(rows, list(rows["bits"]), key[0] == key[1])
+        return rows.iloc[np.union1d(a, b)][["i", "j", "c", "side"]]
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "c"])
+        same, split = key[0] == key[1], int((rows["side"] == 0).sum())
+        grams = [np.frombuffer(g, np.int64) for g in rows["grams"]]
+        a, b = possible(rows, [_bitmap(g) for g in grams], same)
         hit = _overlaps(grams, a, b, t, None if same else split)
-        return _result(c, m, a[hit], b[hit], every)
+        return _result(rows["c"].to_numpy(), rows["m"].to_numpy(), a[hit], b[hit], every)
 
+    sides = sides.join(_bitmaps(sets), "c").groupBy("i", "j").applyInPandas(keep, "i long, j long, c long, side int")
     return sides.join(sets, "c").groupBy("i", "j").applyInPandas(block, RESULT)
 
 
