@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import table
+from .cluster import settle, table
 
 #: Weights and schedule slopes, given to the sources in turn; share of all words; most passes over a document.
 WEIGHTS, SLOPES, SHARE, PASSES = (3, 1, 2), (0.5, 0.0, -0.5), 1.5, 2
@@ -46,42 +46,52 @@ def due(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, u).otherwise((1 + slope - root) / (2 * F.when(F.abs(slope) < 1e-9, F.lit(1.0)).otherwise(slope)))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 7) -> DataFrame:
+def place(doc_id: Column) -> Column:
+    """The order of a source's documents: an MD5 of the id, as text, which other engines have too; a null id's is the empty text's."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, size: Column | None = None) -> DataFrame:
     """docs with mix (size, source_size, target, taken, copies, positions): what the mix takes of each row, and when.
 
-    A source's documents go by a hash of doc_id; all are taken floor(target /
+    A source's documents go by an MD5 of doc_id; all are taken floor(target /
     size) times and, of one more pass, those whose middle lies before what is
     then left, so a source misses its target by half a document at most. Null
-    texts have size 0, null sources are one source, the last; repeated rows
-    are documents of their own. One row for each source goes to the driver.
-    A column named mix is replaced.
+    and empty texts have size 0 and are not taken, null sources are one source,
+    the last; repeated rows and rows of one id are documents of their own, by
+    size; an empty table gives none. `size` is a column that has the words
+    counted already. One row for each source goes to the driver. A column named
+    mix is replaced, any other stays as it is.
     """
-    docs = docs.drop("mix")
-    own = docs.columns
-    sized = docs.select(*own, words(F.col("text").cast("string")).alias("__size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("__hash"))
-    totals = sized.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()
+    own = [c for c in docs.columns if c != "mix"]
+    # what docs has travels as one column, so that no name of its can clash
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("source").cast("string").alias("source"), (words(F.col("text").cast("string")) if size is None else size).alias("size"), place(F.col("doc_id")).alias("place"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     buckets = max(1, -(-sum(r["n"] for r in totals) // ROWS_PER_BUCKET)) * 4
     # an Arrow table, which the driver's JVM reads without Python workers
     made = targets([(r["source"], r["size"]) for r in totals], weights, share, passes)
     columns = [pa.array([t[i] for t in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64()))]
-    plan = docs.sparkSession.createDataFrame(pa.table(columns, names=["__source", "source_size", "target", "slope"]))
-    bucketed = sized.withColumn("__bucket", F.floor((F.col("__hash") / F.lit(2.0**64) + 0.5) * buckets))
+    plan = docs.sparkSession.createDataFrame(pa.table(columns, names=["of", "source_size", "target", "slope"]))
+    bucketed = sized.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") / F.lit(2.0**32) * buckets))
     # where each bucket of a source begins in that source's stream: a running sum over sums, not over documents
-    sums = bucketed.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum"))
-    begins = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), (F.sum("__sum").over(Window.partitionBy("source").orderBy("__bucket")) - F.col("__sum")).alias("__begin"))
-    begins = begins.join(F.broadcast(plan) if len(totals) <= 100_000 else plan, begins["__source"].eqNullSafe(plan["__source"])).drop(plan["__source"])
-    joined = bucketed.join(begins, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
-    window = Window.partitionBy("__source", "__b").orderBy("__hash", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("__at", F.col("__begin") + F.coalesce(F.sum("__size").over(window), F.lit(0)))
+    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    begins = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b"), (F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("begin"))
+    begins = begins.join(F.broadcast(plan) if len(totals) <= 100_000 else plan, F.col("b_source").eqNullSafe(F.col("of"))).drop("of")
+    joined = bucketed.join(begins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b")))
+    window = Window.partitionBy("b_source", "b").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(window), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     rest = F.col("target") - whole * F.col("source_size")
-    copies = F.when(F.col("__size") == 0, 0).otherwise(F.least(whole + F.when(F.col("__at") + F.col("__size") / 2 < rest, 1).otherwise(0), F.lit(passes)))
-    positions = F.transform(F.slice(F.sequence(F.lit(0), F.lit(passes)), F.lit(1), F.col("__copies")), lambda i: due((i * F.col("source_size") + F.col("__at") + F.col("__size") / 2) / F.col("target"), F.col("slope")))
-    mix = F.struct(F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"), positions.alias("positions"))
-    return placed.withColumn("__copies", copies.cast("int")).select(*own, mix.alias("mix"))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(whole + F.when(F.col("at") + F.col("size") / 2 < rest, 1).otherwise(0), F.lit(passes)))
+    positions = F.transform(F.slice(F.sequence(F.lit(0), F.lit(passes)), F.lit(1), F.col("copies")), lambda i: due((i * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target"), F.col("slope")))
+    mix = F.struct("size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", positions.alias("positions"))
+    return placed.withColumn("copies", copies.cast("int")).select(*[F.col(f"row.`{c}`").alias(c) for c in own], mix.alias("mix"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    # the text is not needed past its size, so it goes before the range sort
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.positions", F.lit(0)).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    """Each document's share of the mix, in the order of its first training position; positions has all of them."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    counted = settle(docs.select("doc_id", "source", words(F.col("text").cast("string")).alias("n_words")))  # the one pass over texts
+    mixed = mix_sources(counted, size=F.col("n_words"))
+    position = F.get("mix.positions", F.lit(0)).alias("position")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", position, "mix.positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")

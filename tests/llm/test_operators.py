@@ -517,6 +517,65 @@ def test_mixing(docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_each_row(spark, docs):
+    """Targets, copies and positions of every row, recomputed one by one."""
+    rows = [(r["doc_id"], r["source"], len(spaced(r["text"]))) for r in docs.collect()]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    target, left, goal = {}, set(names), 1.5 * sum(size.values())
+    while left:
+        per = goal / sum(weight[s] for s in left)
+        full = {s for s in left if weight[s] * per > 2 * size[s]}
+        for s in full or set(left):
+            target[s] = 2.0 * size[s] if full else weight[s] * per
+        goal -= sum(target[s] for s in full)
+        left -= full or left
+    want = []
+    for i, s in enumerate(names):
+        at, slope = 0, mixing.SLOPES[i % 3]
+        for d, n in sorted(((d, n) for d, t, n in rows if t == s), key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[1])):
+            whole = int(target[s] // size[s]) if size[s] else 0
+            copies = min(2, whole + (at + n / 2 < target[s] - whole * size[s])) if n else 0
+            want.append((d, n, size[s], copies * n, [(k * size[s] + at + n / 2) / target[s] for k in range(copies)], slope, target[s]))
+            at += n
+    got = [(r["doc_id"], *r["mix"]) for r in mixing.mix_sources(docs).select("doc_id", "mix").collect()]
+    assert len(got) == len(want)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for (d, n, total, goal, taken, copies, positions), (wd, wn, wtotal, wtaken, shares, slope, wgoal) in zip(sorted(got, key=lambda r: (*order(r), r[6])), sorted(want, key=lambda r: (*order(r), r[4])), strict=True):
+        assert (d, n, total, taken, copies) == (wd, wn, wtotal, wtaken, len(shares)) and goal == pytest.approx(wgoal)
+        assert [(1 + slope) * t - slope * t * t for t in positions] == pytest.approx(shares, abs=1e-9)
+
+
+def test_clashing_columns(spark):
+    """Extra columns with names that operators use inside stay as they are."""
+    names = ["target", "source_size", "slope", "size", "bucket", "place", "begin", "at", "row", "copies", "th", "spans", "__id", "__th", "places", "c", "m", "n", "key", "rid", "grams", "label", "first", "score", "m.x"]
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, t, "s", *range(len(names))) for i, t in enumerate([text, text, None, "a"])], ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` long" for n in names]]))
+    quoted = [f"`{n}`" for n in names]
+    for made in (mixing.mix_sources(df), substrings.remove_repeats(df)):
+        assert {tuple(r) for r in made.select(*quoted).collect()} == {tuple(range(len(names)))} and made.count() == 4
+    assert bag(map(tuple, jaccard.jaccard_groups(df).select("doc_id", "component_id", "n_links", "first").collect())) == [(0, 0, 1, True), (1, 0, 1, False), (2, 2, 0, True), (3, 3, 0, True)]
+    assert token_counts.token_counts(df, BYTE).count() == licenses.license_scan(df).count() == media.media_digests(media.text_media(df)).count() == packing.pack_documents(df, WORD).count() == 4
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    model = quality.fit_quality(none, spark.createDataFrame([], "doc_id long, quality int"))
+    for made in (token_counts.token_counts(none, BYTE), substrings.remove_repeats(none), licenses.license_scan(none), jaccard.jaccard_groups(none), mixing.mix_sources(none), quality.quality_scores(none, model), packing.pack_documents(none, WORD)):
+        assert made.count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse pattern and its complement, as words and as runs of words, are not the same."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, other), (3, " ".join(["q"] * 49 + [one])), (4, " ".join(["q"] * 49 + [other])), (5, " ".join(("a b".split())[b] for b in bits)), (6, " ".join(("a b".split())[1 - b] for b in bits))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(df.where("doc_id <= 2"), 4, Fraction(85, 100)).collect()}
+    assert got == {1: 1, 2: 2}
+    assert bag(map(tuple, substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect())) == removed(rows_of(df), 50)
+
+
 def test_mixing_positions_invert_the_schedule(spark):
     df = spark.createDataFrame([(u / 10, s) for u in range(11) for s in (0.5, 0.0, -0.5)], "u double, s double")
     for r in df.select("u", "s", mixing.due(F.col("u"), F.col("s")).alias("t")).collect():
