@@ -33,26 +33,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the shared folder."""
+    """Computes df once and cuts its lineage, in the shared folder. forget() deletes what is kept there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    made = df.checkpoint()
+    kept = made._jdf.logicalPlan().rdd().getCheckpointFile()
+    if kept.isDefined():
+        _written.append(kept.get())
+    return made
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As settle, as a Parquet table, of which later steps read single columns. forget() deletes it."""
+    """As settle, as a Parquet table, of which later steps read single columns."""
     at = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _written.append(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    made = df.sparkSession.read.schema(df.schema).parquet(at)
+    made.stored_at = at
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() of which nothing is left to be read."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+        _written.remove(df.stored_at)
 
 
 def forget(spark: SparkSession) -> None:
-    """Deletes the tables that stored() has written; call it when results made of them have been written or read."""
+    """Deletes all that settle() and stored() have kept; call it when what was made of it has been written elsewhere or read."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import BROADCAST_ROWS, fan_join, settle, stored, table
+from .cluster import BROADCAST_ROWS, discard, fan_join, settle, stored, table
 from .textkit import SPACED, Words, buffers, chunks, mix, runs, sliding_min, task
 
 #: Words of an edge, and of the grams that minimizers are chosen among.
@@ -143,6 +143,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     paths = stored(document_paths(docs, window))
     shared = settle(paths.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("m", "size", F.lit(True).alias("shared")))
     kept = stored(fan_join(paths, shared, "m", "size", "doc_id").where("shared").drop("shared"))
+    discard(paths)
     same = ["m", "h1", "h2", "n"]
     contents = settle(kept.groupBy(*same).agg(F.min(F.struct(*PLACE)).alias("source"), F.count("*").alias("size")))
     branching = settle(contents.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("branching", F.lit(True)))
@@ -150,6 +151,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = fan_join(kept, known, same, "size", "doc_id")
     # a run that its source document has as well is repeated as a whole; of branching ones the source's own edges are open
     places = stored(placed.where("doc_id > source.doc_id or (branching and doc_id = source.doc_id and th = source.th and start = source.start)"))
+    discard(kept)
     at_source = [F.col("source.doc_id").alias("s_id"), F.col("source.th").alias("s_th"), F.col("source.start").alias("s_start")]
     whole = places.where("doc_id > source.doc_id").select(*PLACE, "n", *at_source)
 
