@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _begin(spark: SparkSession) -> None:
+    short_batches(spark)
+    forget(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score of 0.3 at least)."""
-    short_batches(spark)
+    _begin(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_scores(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -35,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay where no other row of their group has one; texts
     without words are groups of their own; an empty table gives none.
     """
-    short_batches(spark)
+    _begin(spark)
     groups = jaccard_groups(docs)
     dropped = settle(groups.where("not first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     key = F.xxhash64(F.col("text").cast("string"))
@@ -50,7 +55,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of 50 words or more that an earlier document has; texts with nothing left go."""
-    short_batches(spark)
+    _begin(spark)
     cut = remove_repeats(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.where("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
@@ -58,13 +63,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of their training positions."""
+    _begin(spark)
     mixed = mix_sources(docs.select(*COLUMNS)).select(*COLUMNS, F.explode("mix.positions").alias("position"))
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 2048 tokens."""
-    short_batches(spark)
+    _begin(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -80,6 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        forget(spark)  # the stage's own tables have been read
         docs = spark.read.parquet(f"{at}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
