@@ -20,8 +20,13 @@ def modulo(a: Column, b: Column) -> Column:
     return F.try_mod(a, b)
 
 
+def sum_exact(x: Column) -> Column:
+    """An exact integer sum, or null where it overflows; sum_promote() gives a double then."""
+    return F.try_sum(x)
+
+
 def sum_promote(x: Column) -> Column:
-    """An exact integer sum, or null if it overflows, beside the double that is then used."""
+    """A sum as a double: of the exact integer sum, or of the values as doubles where that overflows."""
     return F.coalesce(F.try_sum(x).cast("double"), F.sum(x.cast("double")))
 
 
@@ -93,14 +98,50 @@ def date_field(field: str, x: Column) -> Column:
     return made(x).cast("long") if made else F.lit(None).cast("long")
 
 
+def hex_value(x: Column, kind: str) -> Column:
+    """Hex digits of a blob or an integer; null for a text, whose bytes are no value of its own."""
+    return F.lit(None).cast("string") if type_name(kind) == "text" else F.hex(x)
+
+
+def power_int(a: Column, b: Column) -> Column:
+    """An integer to an integer power, as an integer where that is exact, else null; power() gives the real."""
+    made = F.pow(a.cast("double"), b.cast("double"))
+    return F.when((b >= 0) & (F.abs(made) <= float(1 << 53)), made.cast("long"))
+
+
+def epoch_field(field: str, seconds: Column) -> Column:
+    """date_field of seconds since 1970, in UTC."""
+    return date_field(field, F.timestamp_seconds(seconds))
+
+
+def at_time_zone(x: Column, zone: str) -> Column:
+    """The wall clock of a zone at a UTC time."""
+    return F.from_utc_timestamp(x, zone)
+
+
 # --- JSON on text
 
 
+def _at(path: str) -> str:
+    return path if path.startswith("$") else f"$.{path}"
+
+
+def _found(doc: Column, path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(doc), _at(path), "variant")
+
+
+def _kind(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(kind == "BOOLEAN", "BOOLEAN").when(kind == "VOID", "NULL").when(kind == "BIGINT", "INTEGER").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "DOUBLE").when(kind == "STRING", "STRING")
+    )
+
+
 def json_extract(doc: Column, path: str) -> Column:
-    """The value at a path ($.a.b[0], or a bare key) as text; true is 1, false is 0."""
-    found = F.get_json_object(doc, path if path.startswith("$") else f"$.{path}")
-    kind = json_type(found)
-    return F.when((kind == "BOOLEAN") & (found == "true"), "1").when((kind == "BOOLEAN") & (found == "false"), "0").otherwise(found)
+    """The value at a path ($.a.b[0], or a bare key) as text; true is 1, false is 0, null is null."""
+    found = F.get_json_object(doc, _at(path))
+    kind = _kind(_found(doc, path))
+    return F.when(kind == "BOOLEAN", F.when(found == "true", "1").otherwise("0")).when(kind != "NULL", found)
 
 
 def json_valid(doc: Column) -> Column:
@@ -109,28 +150,30 @@ def json_valid(doc: Column) -> Column:
 
 def json_type(doc: Column) -> Column:
     """OBJECT, ARRAY, BOOLEAN, NULL, INTEGER, DOUBLE or STRING; null for a null or what is no JSON."""
-    kind = F.schema_of_variant(F.try_parse_json(doc))
-    return (
-        F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(kind == "BOOLEAN", "BOOLEAN").when(kind == "VOID", "NULL").when(kind == "BIGINT", "INTEGER").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "DOUBLE").when(kind == "STRING", "STRING")
-    )
+    return _kind(F.try_parse_json(doc))
 
 
-def json_length(doc: Column) -> Column:
-    """Keys of an object, items of an array, 1 for another value."""
-    return F.when(doc.isNull(), None).otherwise(F.coalesce(F.json_array_length(doc), F.size(F.json_object_keys(doc)).cast("int"), F.lit(1)))
+def json_length(doc: Column, path: str = "$") -> Column:
+    """Keys of the object at a path, items of an array, 1 for another value; null where there is none, or for what is no JSON."""
+    value = _found(doc, path)
+    kind, text = _kind(value), F.to_json(value)
+    return F.when(kind == "OBJECT", F.size(F.json_object_keys(text))).when(kind == "ARRAY", F.json_array_length(text)).when(kind.isNotNull(), 1)
 
 
 def json_keys(doc: Column) -> Column:
     return F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
 
 
-def json_contains(doc: Column, value: str) -> Column:
-    """Whether an array text has an item."""
-    return F.array_contains(F.from_json(doc, "array<string>"), value).cast("int")
+def json_contains(doc: Column, value: str, path: str = "$") -> Column:
+    """Whether the array at a path has an item, or the text of an object there has the value in it."""
+    found = _found(doc, path)
+    kind, text = _kind(found), F.to_json(found)
+    return F.when(kind == "ARRAY", F.array_contains(F.from_json(text, "array<string>"), value)).when(kind == "OBJECT", text.contains(value)).when(kind.isNotNull(), F.get_json_object(doc, _at(path)) == value).cast("int")
 
 
 def _fields(doc: Column) -> Column:
-    return F.from_json(doc, "map<string,string>")
+    """An object's fields with their types."""
+    return F.from_json(doc, "map<string,variant>")
 
 
 def json_remove(doc: Column, *keys: str) -> Column:
@@ -138,8 +181,9 @@ def json_remove(doc: Column, *keys: str) -> Column:
 
 
 def json_set(doc: Column, key: str, value: Column) -> Column:
-    """With a key set, there or not."""
-    return F.to_json(F.map_concat(F.map_filter(_fields(doc), lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string"))))
+    """With a key set, there or not; other values keep their types and nesting."""
+    made = F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant")
+    return F.to_json(F.map_concat(F.map_filter(_fields(doc), lambda k, _: k != key), F.create_map(F.lit(key), made)))
 
 
 def json_insert(doc: Column, key: str, value: Column) -> Column:

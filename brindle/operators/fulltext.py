@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import shared_folder
+
 #: Everything between words.
 SEPARATOR = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
+#: Folders that an index deals its postings to, by a hash of the token.
+PARTS = 64
+#: Scripts that are written without blanks, whose tokens are pairs of characters.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
 def query_tokens(query: str) -> list[str]:
@@ -27,18 +34,32 @@ def postings(docs: DataFrame, id_column: str, *columns: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, id_column: str, query: str, *columns: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc, score) of the rows that have a token of the query. One pass: only the query's tokens leave the scan."""
-    wanted = query_tokens(query)
-    bag = docs.select(F.col(id_column).alias("doc"), tokens(F.concat_ws(" ", *columns)).alias("bag"))
-    counted = bag.select("doc", F.size("bag").cast("long").alias("dl"), *[_times("bag", w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    """(doc, score) of the rows that have a token of the query; without tokens in it, none.
+
+    Texts are read once: their length in tokens and the counts of the query's
+    tokens are kept in the shared folder, as the statistics come from all of them.
+    """
+    wanted, text = query_tokens(query), F.lower(F.concat_ws(" ", *columns))
+    rows = docs.select(F.col(id_column).alias("doc"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("dl"), *[_times(text, w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    if not wanted:
+        return rows.select("doc", F.lit(0.0).alias("score")).limit(0)
+    counted = settled(rows)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     score = sum((_term(F.col(f"tf{i}"), F.col(f"df{i}"), k1, b) for i in range(len(wanted))), F.lit(0.0))
     hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0
     return counted.where(hit).join(F.broadcast(stats)).select("doc", score.alias("score"))  # stats is one row
 
 
-def _times(bag: str, word: str) -> Column:
-    return F.size(F.filter(bag, lambda t: t == word)).cast("long")
+def settled(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def _times(text: Column, word: str) -> Column:
+    """How often a token stands in lower-cased text."""
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])")).cast("long")
 
 
 def _term(tf: Column, df: Column, k1: float, b: float) -> Column:
@@ -55,6 +76,9 @@ def match_against(docs: DataFrame, query: str, *columns: str) -> DataFrame:
 
 
 def match_all(docs: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows in which all tokens of the query stand; without tokens in it, none."""
+    if not query_tokens(query):
+        return docs.limit(0)
     hay = F.lower(F.concat_ws(" ", *columns))
     for w in query_tokens(query):
         docs = docs.where(hay.contains(w))
@@ -84,3 +108,29 @@ def reindex(index: DataFrame, changed: DataFrame, gone: DataFrame, id_column: st
     """postings() after changes: those of changed and deleted rows leave, those of changed rows come anew."""
     stale = changed.select(F.col(id_column).alias("doc")).union(gone.select(F.col(id_column).alias("doc"))).distinct()
     return index.join(stale, "doc", "left_anti").unionByName(postings(changed, id_column, *columns))
+
+
+def pair_tokens(text: Column) -> Column:
+    """Tokens of text that may be written without blanks: runs of such characters give each pair of neighbours (one alone, itself)."""
+    spread = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"({UNSPACED}+)", " $1 ")
+    words = F.array_remove(F.split(spread, SEPARATOR), "")
+    pairs = F.transform(words, lambda w: F.when(w.rlike(f"^{UNSPACED}{{2,}}$"), F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array(w)))
+    return F.flatten(pairs)
+
+
+def write_index(docs: DataFrame, id_column: str, path: str, *columns: str) -> None:
+    """Postings of all columns of docs as a table in `path`, a folder for each part of the tokens, so that a search reads few of them."""
+    dealt = postings(docs, id_column, *columns).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int"))
+    dealt.repartition("part").sortWithinPartitions("token").write.partitionBy("part").parquet(f"{path}/postings")
+    docs.select(F.col(id_column).alias("doc"), F.regexp_count(F.lower(F.concat_ws(" ", *columns)), F.lit(WORD)).cast("long").alias("dl")).write.parquet(f"{path}/lengths")
+
+
+def search_index(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc, score) as bm25() gives it, from a kept index: no text is read, and of the postings only the parts of the query's tokens."""
+    wanted = query_tokens(query)
+    parts = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")).collect()]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("token").isin(wanted)).select("doc", "token", "tf", F.col("field_len").alias("dl"))
+    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rare = hits.groupBy("token").agg(F.count("*").alias("df"))  # as many rows as the query has tokens
+    scored = hits.join(F.broadcast(rare), "token").join(F.broadcast(stats)).select("doc", _term(F.col("tf"), F.col("df"), k1, b).alias("score"))
+    return scored.groupBy("doc").agg(F.sum("score").alias("score"))

@@ -171,6 +171,34 @@ def delete_returning(df: DataFrame, where: Column) -> tuple[DataFrame, DataFrame
     return delete_rows(df, where), df.where(where)
 
 
+def insert_returning(df: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table with the new rows, the rows that came)."""
+    return df.unionByName(new), new
+
+
+def update_returning(df: DataFrame, where: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(the table after the update, the changed rows as they are now)."""
+    return update_rows(df, where, values), update_rows(df.where(where), F.lit(True), values)
+
+
+def not_null_violations(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a null in one of the columns."""
+    return df.where(" or ".join(f"`{c}` is null" for c in columns))
+
+
+def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many new rows meet a key that is there (replaced), and how many don't (inserted)."""
+    both = new.select(*keys).join(old.select(*keys).distinct().withColumn("__had", F.lit(True)), keys, "left")
+    return both.agg(F.count_if(F.col("__had").isNotNull()).alias("replaced"), F.count_if(F.col("__had").isNull()).alias("inserted"))
+
+
+def upsert_error(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the new rows, or an error when a row is read whose key is there already."""
+    met = new.join(old.select(*keys).distinct().withColumn("__had", F.lit(True)), keys, "left")
+    checked = F.assert_true(F.col("__had").isNull(), F.lit("a key is there already"))
+    return old.unionByName(met.where(checked.isNull()).select(*old.columns))
+
+
 def cascade_delete(child: DataFrame, column: str, gone: DataFrame, key: str) -> DataFrame:
     """Rows of child without those that refer to a deleted parent row."""
     return child.join(gone.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")

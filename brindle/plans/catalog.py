@@ -358,6 +358,21 @@ def json_mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"z":5}' AS a, '{"k":"x"}' AS b, '{}' AS c, '{"k":' || json_extract_string(props, '$.k') || ',"a":{"b":[1,2]},"z":true}' AS d FROM events""")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents after changes: what isn't changed keeps its type and nesting."""
+    p = F.col("props")
+    nested = F.concat(F.lit('{"k":'), S.json_extract(p, "k"), F.lit(',"a":{"b":[1,2]}}'))
+    return load(spark, sf_dir, "events").select("event_id", S.json_set(p, "z", F.lit(5)).alias("a"), S.json_replace(p, "k", F.lit("x")).alias("b"), S.json_remove(p, "k").alias("c"), S.json_set(nested, "z", F.lit(True)).alias("d"))
+
+
+@query("""SELECT * FROM (VALUES ('{"t":"true","u":true,"a":{"b":[5,6,7]},"n":null}', 'true', '1', 3, 1, NULL, 1, 0), ('{"a":{"b":[]}}', NULL, NULL, 0, 0, NULL, 0, 0), ('[1,2]', NULL, NULL, NULL, NULL, NULL, NULL, 1), ('no json', NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(doc, t, u, len_b, has_5, n, obj, arr)""")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc")
+    rows = spark.createDataFrame([(x,) for x in ('{"t":"true","u":true,"a":{"b":[5,6,7]},"n":null}', '{"a":{"b":[]}}', "[1,2]", "no json")], "doc string")
+    return rows.select("doc", S.json_extract(d, "t").alias("t"), S.json_extract(d, "u").alias("u"), S.json_length(d, "$.a.b").alias("len_b"), S.json_contains(d, "5", "$.a.b").alias("has_5"), S.json_extract(d, "n").alias("n"), S.json_contains(d, "5", "$.a").alias("obj"), S.json_contains(d, "2").alias("arr"))
+
+
 # --- full text
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
@@ -385,6 +400,22 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.bm25(load(spark, sf_dir, "documents"), "doc_id", "License work the", "text").select("doc", F.round("score", 6).alias("score"))
 
 
+@query(_bm25(["license", "work", "the"], 1.2, 0.75))
+def fts_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of fts_bm25 over a written index."""
+    import uuid
+
+    path = f"{tables.shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    fulltext.write_index(load(spark, sf_dir, "documents"), "doc_id", path, "text")
+    return fulltext.search_index(spark, path, "License work the").select("doc", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 1 AS id, '東京,京都,ab,x' AS bag UNION ALL SELECT 2, '日' UNION ALL SELECT 3, 'plain,words' UNION ALL SELECT 4, ''")
+def fts_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "東京都 ab、x"), (2, "日"), (3, "Plain words"), (4, None)], "id int, text string")
+    return rows.select("id", F.array_join(fulltext.pair_tokens(F.col("text")), ",").alias("bag"))
+
+
 @query(_bm25(["and", "los"], 2.0, 0.3))
 def fts_bm25_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.bm25(load(spark, sf_dir, "documents"), "doc_id", "and los", "text", k1=2.0, b=0.3).select("doc", F.round("score", 6).alias("score"))
@@ -713,6 +744,68 @@ def fn_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select("n_nationkey", F.xxhash64(F.rand()).alias("r"))
 
 
+@query("SELECT true AS sample_near, true AS distinct_near, true AS random_differs")
+def random_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What random and approximate results must keep to, as booleans."""
+    lines = load(spark, sf_dir, "lineitem")
+    facts = lines.agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("d"), F.approx_count_distinct("l_partkey", 0.02).alias("a"))
+    drawn = lines.sample(fraction=0.05, seed=7).agg(F.count("*").alias("k"))
+    rolled = load(spark, sf_dir, "nation").select(F.rand().alias("r")).agg(F.count_distinct("r").alias("r"), F.count("*").alias("m"))
+    both = facts.join(F.broadcast(drawn)).join(F.broadcast(rolled))  # one row each
+    return both.select((F.abs(F.col("k") - 0.05 * F.col("n")) <= 6 * F.sqrt(0.0475 * F.col("n"))).alias("sample_near"), (F.abs(F.col("a") - F.col("d")) <= 0.1 * F.col("d")).alias("distinct_near"), (F.col("r") == F.col("m")).alias("random_differs"))
+
+
+@query("SELECT n_nationkey, NULL::VARCHAR AS t, upper(printf('%x', n_nationkey)) AS i, '4142' AS b, CAST(pow(n_regionkey, 3) AS BIGINT) AS p, CAST(NULL AS BIGINT) AS over, 1970 AS y, 2 AS h FROM nation")
+def fn_typed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", S.hex_value(F.col("n_name"), "string").alias("t"), S.hex_value(F.col("n_nationkey"), "int").alias("i"), S.hex_value(F.lit(b"AB"), "binary").alias("b"), S.power_int(F.col("n_regionkey"), F.lit(3)).alias("p"), S.power_int(F.lit(10), F.lit(40)).alias("over"), S.epoch_field("YEAR", F.lit(7200)).cast("int").alias("y"), S.epoch_field("HOUR", F.lit(7200)).cast("int").alias("h"))
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR AS tokyo FROM orders")
+def fn_at_time_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = S.at_time_zone(F.col("o_orderdate").cast("timestamp"), "Asia/Tokyo")
+    return load(spark, sf_dir, "orders").select("o_orderkey", made.cast("timestamp_ntz").alias("tokyo"))
+
+
+both("fn_documented_rest", "SELECT n_nationkey, decode(unhex('4142'), 'UTF-8') AS a, ltrim('x', 'xxab') AS b, rtrim('b', 'xxab') AS c, position('A' IN n_name) AS d, round(cos(n_nationkey), 6) AS e, round(tan(n_nationkey), 6) AS f, round(asin(n_regionkey / 10.0D), 6) AS g, round(acos(n_regionkey / 10.0D), 6) AS h, round(log(10, n_nationkey + 1), 6) AS i, current_timestamp() > TIMESTAMP '2020-01-01 00:00:00' AS j FROM nation", "SELECT n_nationkey, 'AB' AS a, ltrim('xxab', 'x') AS b, rtrim('xxab', 'b') AS c, CAST(position('A' IN n_name) AS INTEGER) AS d, round(cos(n_nationkey), 6) AS e, round(tan(n_nationkey), 6) AS f, round(asin(n_regionkey / 10.0), 6) AS g, round(acos(n_regionkey / 10.0), 6) AS h, round(log10(n_nationkey + 1), 6) AS i, true AS j FROM nation")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 7")
+def rls_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy on who the session works for."""
+    spark.conf.set("brindle.auth.uid", "7")
+    return load(spark, sf_dir, "customer").where(F.col("c_nationkey") == F.lit(tables.auth_uid(spark)).cast("int")).select("c_custkey")
+
+
+@query("SELECT 'insert' AS op, r_regionkey + 100 AS id FROM region UNION ALL SELECT 'update', n_nationkey + 1000 FROM nation WHERE n_regionkey = 1")
+def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_regionkey")
+    new = load(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("id"), F.lit(0).alias("n_regionkey"))
+    came, changed = relational.insert_returning(nation, new)[1], relational.update_returning(nation, F.col("n_regionkey") == 1, {"id": F.col("id") + 1000})[1]
+    return came.select(F.lit("insert").alias("op"), "id").union(changed.select(F.lit("update"), "id"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE NULLIF(n_regionkey, 2) IS NULL")
+def not_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "nation").withColumn("k", F.nullif("n_regionkey", F.lit(2)))
+    return relational.not_null_violations(rows, "n_nationkey", "k").select("n_nationkey")
+
+
+@query(f"WITH {_NEW} SELECT count(CASE WHEN c_custkey IN (SELECT c_custkey FROM o) THEN 1 END) AS replaced, count(CASE WHEN c_custkey NOT IN (SELECT c_custkey FROM o) THEN 1 END) AS inserted FROM n")
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.upsert_counts(*_accounts(spark, sf_dir), ["c_custkey"])
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 50")
+def log_from_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is written in two batches and read from a position."""
+    import uuid
+
+    events, path = load(spark, sf_dir, "events").select("event_id", "event_type"), f"{tables.shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    for batch in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        feeds.append_changes(events.where(batch), path)
+    return feeds.changes_after(spark, path, "event_id", 50)
+
+
 # --- more full text and vectors
 _STOP = ["the", "and", "of"]
 

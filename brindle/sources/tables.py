@@ -24,8 +24,21 @@ def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: the session's spark.checkpoint.dir, or a new local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """A folder that all executors see: the session's spark.checkpoint.dir. Only a local master may have none, which gets a new one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or tempfile.mkdtemp()
+
+
+def current_setting(spark: SparkSession, key: str) -> str | None:
+    """A value of the session, null where it is unset."""
+    return spark.conf.get(f"brindle.{key}", None)
+
+
+def auth_uid(spark: SparkSession) -> str | None:
+    """Who the session works for, for policies: its setting auth.uid."""
+    return current_setting(spark, "auth.uid")
 
 
 def generate_series(spark: SparkSession, first: int, last: int, step: int = 1, name: str = "value") -> DataFrame:

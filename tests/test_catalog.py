@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from brindle.operators import relational
+from brindle.operators import fulltext, relational
 from brindle.plans import catalog
 from brindle.sources.tables import NAMES
+from brindle.streaming import feeds
 
 _duck = {}
 
@@ -75,3 +76,35 @@ def test_histogram_counts(spark, sf_dir):
         for _, upper, rows_, ndv in got:
             assert (rows_, ndv) == (sum(v <= upper for v in values), len({v for v in values if last < v <= upper}))
             last = upper
+
+
+def test_upsert_error(spark):
+    old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(2, "b")], "k int, v string")
+    assert sorted(map(tuple, relational.upsert_error(old, new, ["k"]).collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="there already"):
+        relational.upsert_error(old, old, ["k"]).collect()
+
+
+def test_queries_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    for q in ("", " .,"):
+        assert fulltext.bm25(docs, "id", q, "text").count() == fulltext.match_all(docs, q, "text").count() == 0
+
+
+def test_feeds_go_on(spark, tmp_path):
+    """A replica and a view that are called again with more changes, and empty feeds."""
+    schema, log = "k int, at int, v int, op string", str(tmp_path / "log")
+    kind = spark.createDataFrame([], schema).schema
+    feeds.append_changes(spark.createDataFrame([(1, 1, 10, "insert"), (2, 1, 20, "insert")], schema), log)
+    want = [{(1, 1, 10), (2, 1, 20)}, {(1, 2, 11)}]
+    for rows in want:
+        made = feeds.replicate(feeds.follow(spark, log, kind), "k", "at", "op", str(tmp_path / "replica"))
+        assert {tuple(r) for r in made.select("k", "at", "v").collect()} == rows
+        total = feeds.refresh_view(feeds.follow(spark, log, kind), ["k"], "v", str(tmp_path / "view"))
+        got = {r["k"]: r["n"] for r in total.collect()}
+        feeds.append_changes(spark.createDataFrame([(1, 2, 11, "update"), (2, 2, None, "delete")], schema), log)
+    assert got == {1: 2, 2: 2}
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], schema).write.parquet(empty)
+    stream = feeds.follow(spark, empty, kind)
+    assert feeds.refresh_view(stream, ["k"], "v").count() == feeds.replicate(stream, "k", "at", "op").count() == feeds.running_totals(stream, ["k"], "v").count() == 0
