@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
+#: Facts about keys are broadcast up to so many, so that joins of large tables have one plan at nearly every size.
+FACTS = 20_000
 #: Rows of one key that one task of a join takes, and the most keys that are split for having more.
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
 #: Rows and bytes of an Arrow batch.
@@ -86,13 +88,13 @@ def fan_join(big: DataFrame, facts: DataFrame, on: str | list[str], size: str, s
     """
     on = [on] if isinstance(on, str) else on
     counts = facts.agg(F.count("*").alias("n"), F.sum(size).alias("rows")).first()
-    if counts["n"] <= BROADCAST_ROWS:
+    if counts["n"] <= FACTS:
         return big.join(F.broadcast(facts.drop(size)), on, "left")
     rows = max(HOT_ROWS, (counts["rows"] or 0) // HOT_KEYS)
     hot = F.broadcast(facts.where(F.col(size) > rows).select(*on, F.ceil(F.col(size) / rows).cast("int").alias("__fan")))  # HOT_KEYS rows at most
     dealt = big.join(hot, on, "left").withColumn("__at", F.coalesce(F.pmod(F.xxhash64(spread), "__fan"), F.lit(0)).cast("int")).drop("__fan")
     copied = facts.drop(size).join(hot, on, "left").withColumn("__at", F.explode(F.sequence(F.lit(0), F.coalesce("__fan", F.lit(1)) - 1))).drop("__fan")
-    return dealt.join(copied, [*on, "__at"], "left").drop("__at")
+    return dealt.join(copied.hint("merge"), [*on, "__at"], "left").drop("__at")
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -316,7 +316,7 @@ def _tried(pairs: DataFrame, described, t: Fraction) -> DataFrame:
                 apart = np.bitwise_count(on_a ^ on_b).sum(1, dtype=np.int64)
                 yield batch.select(["a", "b"]).filter(pa.array(_may_link(size_a, size_b, apart, t)))
 
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long")
+    return pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "da", "db").mapInArrow(keep, "a long, b long")
 
 
 def _blocks(wide: DataFrame, t: Fraction) -> DataFrame:
@@ -368,8 +368,8 @@ def _block_links(blocks: DataFrame, met: DataFrame, sets: DataFrame, t: Fraction
         hit = _overlaps(grams, a, b, t, None if same else split)
         return _result(rows["c"].to_numpy(), rows["m"].to_numpy(), a[hit], b[hit], every)
 
-    sides = sides.join(_bitmaps(sets), "c").groupBy("i", "j").applyInPandas(keep, "i long, j long, c long, side int")
-    return sides.join(sets, "c").groupBy("i", "j").applyInPandas(block, RESULT)
+    sides = sides.join(_bitmaps(sets).hint("merge"), "c").groupBy("i", "j").applyInPandas(keep, "i long, j long, c long, side int")
+    return sides.join(sets.hint("merge"), "c").groupBy("i", "j").applyInPandas(block, RESULT)
 
 
 def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction, split: int | None = None) -> np.ndarray:
@@ -450,7 +450,7 @@ def _verified(candidates: DataFrame, described, t: Fraction, every: bool) -> Dat
     other = side.select(F.col("c").alias("b"), F.col("t").alias("tb"))
     keys = ["large", "part", "i", "j"]
     asked = candidates.join(one, "a").join(other, "b").select("a", "b", "large", "part", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"))
-    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "m", "grams"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "m", "grams")
+    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "m", "grams").hint("merge"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "m", "grams")
 
     def verify(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         place = pd.Index(rows["c"])

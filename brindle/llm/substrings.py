@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import BROADCAST_ROWS, discard, fan_join, settle, stored, table
+from .cluster import discard, fan_join, settle, stored, table
 from .textkit import SPACED, Words, buffers, chunks, mix, runs, sliding_min, task
 
 #: Words of an edge, and of the grams that minimizers are chosen among.
 WINDOW, GRAM = 50, 10
 SEEDS = (11, 13)
+#: Places in texts that are broadcast at most: two numbers each, and two for each text.
+PLACES = 2_000_000
 #: Rounds of pointer doubling at most: paths of 2^ROUNDS edges.
 ROUNDS = 40
 PATH = "m long, h1 long, h2 long, n int, doc_id long, th long, start int"
@@ -92,8 +94,9 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def sized(grouped: DataFrame, flat: DataFrame) -> DataFrame:
-    """grouped with a broadcast hint if the flat rows in it, counted, are few; they must be settled."""
-    return F.broadcast(grouped) if flat.count() <= BROADCAST_ROWS else grouped
+    """grouped with a broadcast hint if the flat rows in it, counted, are at most PLACES (some 20 bytes each); they must be settled.
+    Beyond that texts are shuffled to them."""
+    return F.broadcast(grouped) if flat.count() <= PLACES else grouped
 
 
 def _edges(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
