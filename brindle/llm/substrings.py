@@ -10,8 +10,9 @@ one word less at their ends.
    the first document (the source) that has them.
 2. Where runs with one minimizer differ, their edges become rows. Joins count
    the edges into and out of each node; edges that meet in a node with one edge
-   each way and follow each other in their source are one path, found by
-   pointer doubling, a join a round.
+   each way and follow each other in their source are one path: stretches of
+   edges are brought together, and joins compact those that go on from each
+   other (pointer doubling, a join a round).
 3. Every place of a path names the place in the source where its words stand.
    Places on one diagonal merge to spans, and a digest (blake2b) of the words
    at both places verifies each span before anything is removed.
@@ -24,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +37,8 @@ WINDOW, GRAM = 50, 10
 SEEDS = (11, 13)
 #: Places in texts that are broadcast at most: two numbers each, and two for each text.
 PLACES = 2_000_000
-#: Rounds of pointer doubling at most: paths of 2^ROUNDS edges.
-ROUNDS = 40
+#: Places of a stretch whose edges are brought together first, and rounds of pointer doubling at most: paths of 2^ROUNDS stretches.
+SEGMENT, ROUNDS = 64, 40
 PATH = "m long, h1 long, h2 long, n int, doc_id long, th long, start int"
 PLACE = ["doc_id", "th", "start"]
 
@@ -125,19 +126,26 @@ def _edges(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
 
 def compact(edges: DataFrame) -> DataFrame:
     """Edges (w1, w2, from, to, doc_id, th, start, size), one row each, with `head`: where the non-branching path that an edge is
-    in begins in its source. Pointer doubling: each round joins every edge with the one that its pointer names."""
+    in begins in its source. Edges of one stretch of SEGMENT places come together first; the segments that may go on from the
+    stretch before are joined to it, and pointer doubling over them (a join a round) finds where paths begin."""
     into = edges.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("ins"))
     out = edges.groupBy(F.col("from").alias("node")).agg(F.count("*").alias("outs"))
     straight = into.join(out, "node").where("ins = 1 and outs = 1").select(F.col("node").alias("from"), F.lit(True).alias("straight"))
-    before = edges.select("doc_id", "th", (F.col("start") + 1).alias("start"), F.col("to").alias("from"), F.lit(True).alias("follows"))
-    linked = edges.join(straight, "from", "left").join(before, [*PLACE, "from"], "left")
-    now = settle(linked.withColumn("head", F.when(F.col("straight") & F.col("follows"), F.col("start") - 1).otherwise(F.col("start"))).drop("straight", "follows"))
+    linked = edges.drop("to").join(straight, "from", "left").drop("from").withColumn("straight", F.coalesce("straight", F.lit(False)))
+    stretch = Window.partitionBy("doc_id", "th", F.floor(F.col("start") / SEGMENT)).orderBy("start")
+    # consecutive places of one text share the node between them
+    begins = ~(F.col("straight") & F.coalesce(F.lag("start").over(stretch) == F.col("start") - 1, F.lit(False)))
+    headed = linked.withColumn("begin", F.when(begins, F.col("start"))).withColumn("at", F.max("begin").over(stretch.rowsBetween(Window.unboundedPreceding, 0)))
+    headed = settle(headed.drop("begin"))
+    last = headed.groupBy("doc_id", "th", "at").agg(F.max("start").alias("last"))
+    ends = last.where((F.col("last") + 1) % SEGMENT == 0).select("doc_id", "th", (F.col("last") + 1).alias("at"), F.col("at").alias("head"))
+    now = settle(headed.where((F.col("start") % SEGMENT == 0) & F.col("straight")).select("doc_id", "th", F.col("start").alias("at")).join(ends, ["doc_id", "th", "at"]))
     for _ in range(ROUNDS):
-        ahead = now.select("doc_id", "th", F.col("start").alias("head"), F.col("head").alias("to_head"))
-        new = settle(now.join(ahead, ["doc_id", "th", "head"]).withColumn("moved", F.col("to_head") < F.col("head")).withColumn("head", F.col("to_head")).drop("to_head"))
+        ahead = now.select("doc_id", "th", F.col("at").alias("head"), F.col("head").alias("to_head"))
+        new = settle(now.join(ahead, ["doc_id", "th", "head"], "left").select("doc_id", "th", "at", F.coalesce("to_head", "head").alias("head"), F.col("to_head").isNotNull().alias("moved")))
         moved, now = not new.where("moved").isEmpty(), new.drop("moved")
         if not moved:
-            return now
+            return headed.join(now, ["doc_id", "th", "at"], "left").withColumn("head", F.coalesce("head", "at")).drop("at", "straight")
     raise RuntimeError("paths did not settle")
 
 
