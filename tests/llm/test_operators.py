@@ -225,6 +225,13 @@ def test_substrings(docs, window):
     assert bag(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == removed(rows_of(docs), window)
 
 
+def test_paths_over_stretches(docs, monkeypatch):
+    """Paths over many stretches of edges, whose joins take several rounds."""
+    monkeypatch.setattr(substrings, "SEGMENT", 2)
+    got = substrings.remove_repeats(docs, 5)
+    assert bag(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == removed(rows_of(docs), 5)
+
+
 def test_licenses(docs):
     def want(d, t):
         w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
