@@ -368,8 +368,10 @@ def _block_links(blocks: DataFrame, met: DataFrame, sets: DataFrame, t: Fraction
         hit = _overlaps(grams, a, b, t, None if same else split)
         return _result(rows["c"].to_numpy(), rows["m"].to_numpy(), a[hit], b[hit], every)
 
-    sides = sides.join(_bitmaps(sets).hint("merge"), "c").groupBy("i", "j").applyInPandas(keep, "i long, j long, c long, side int")
-    return sides.join(sets.hint("merge"), "c").groupBy("i", "j").applyInPandas(block, RESULT)
+    # what is wide goes to its blocks and isn't shuffled to be joined first, as long as the narrow side is small
+    tried = _bitmaps(sets).join(small_side(settle(sides)), "c").select("i", "j", "c", "side", "bits")
+    left = settle(tried.groupBy("i", "j").applyInPandas(keep, "i long, j long, c long, side int"))
+    return sets.join(small_side(left), "c").select("i", "j", "c", "side", "m", "grams").groupBy("i", "j").applyInPandas(block, RESULT)
 
 
 def _overlaps(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, t: Fraction, split: int | None = None) -> np.ndarray:
@@ -450,7 +452,7 @@ def _verified(candidates: DataFrame, described, t: Fraction, every: bool) -> Dat
     other = side.select(F.col("c").alias("b"), F.col("t").alias("tb"))
     keys = ["large", "part", "i", "j"]
     asked = candidates.join(one, "a").join(other, "b").select("a", "b", "large", "part", F.least("ta", "tb").alias("i"), F.greatest("ta", "tb").alias("j"))
-    facing = _tiled(nodes, "tiles").join(described(nodes.select("c")).select("c", "m", "grams").hint("merge"), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "m", "grams")
+    facing = described(nodes.select("c")).select("c", "m", "grams").join(small_side(settle(_tiled(nodes, "tiles"))), "c").select(*[F.col(k).alias(f"y_{k}") for k in keys], "c", "m", "grams")
 
     def verify(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         place = pd.Index(rows["c"])
