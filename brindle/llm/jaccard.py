@@ -2,12 +2,13 @@
 
 Equal shingle sets are one class (a row of the matrix); the sets are hashed
 once and kept as a table. Columns are ordered by rising frequency; two classes
-that link share a column among the first n - ceil(t n) + 1 of either (the
-prefix), so only prefix columns with two or more classes say where the product
-can have entries:
+that link share at least e columns among the first n - ceil(t n) + e of either
+(the prefix), where e is 1 and one more for each EXTRA of the smaller size, so
+only prefix columns with two or more classes say where the product can have
+entries:
 
 1. A narrow column gives its pairs of classes, under bounds from both sizes and
-   places. Each class of wide columns lies in one block (its widest column, its
+   places; pairs need e of them, unless a wide column is one. Each class of wide columns lies in one block (its widest column, its
    size level, a tile of BLOCK classes); two blocks with a wide column in common
    are a block of the product, once, however many columns they share.
 2. Bitmaps of the sets bound each pair's overlap.
@@ -50,6 +51,8 @@ FREQUENT, COUNTED, HOT = 100_000, 1 << 20, 2_000
 #: Columns that are multiplied at once, and the most classes of a column whose pairs are added up one by one.
 COLUMNS, FEW = 4096, 12
 SEED = 23
+#: For each so many shingles a pair has to share one more column of the prefix.
+EXTRA = 100
 #: Bits of the bitmaps that pairs are first tried on.
 BITS = 4096
 
@@ -85,6 +88,11 @@ def _links(o: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, t: Fra
     return t.denominator * o >= t.numerator * (a + b - o)
 
 
+def _shared(n: np.ndarray, m: np.ndarray, t: Fraction, extra: int) -> np.ndarray:
+    """How many prefix columns sets of these sizes that link share at least: at most the overlap that the larger one asks for."""
+    return np.minimum(1 + np.minimum(n, m) // extra, -(-t.numerator * np.maximum(n, m) // t.denominator))
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """The one pass over texts: rid (a number of its own), doc_id, th, key (128 bits of the set), n, grams (its sorted hashes)."""
 
@@ -143,7 +151,7 @@ def _postings(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.ndarr
                     rank = np.where(frequent[0][at] == s, frequent[1][at], 0)
                 order = np.lexsort((s, rank, row))
                 place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-                prefix = n + (-t.numerator * n) // t.denominator + 1
+                prefix = n + (-t.numerator * n) // t.denominator + 1 + n // EXTRA
                 keep = place < prefix[row]
                 order, row, place = order[keep], row[keep], place[keep]
                 yield pa.record_batch([pa.array(s[order]), pa.array(np.asarray(part.column("c"))[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rank[order] > HOT)], POSTING)
@@ -153,7 +161,8 @@ def _postings(sets: DataFrame, t: Fraction, frequent: tuple[np.ndarray, np.ndarr
 
 
 def _columns(postings: DataFrame, t: Fraction) -> DataFrame:
-    """Postings in the order of columns as rows of two kinds: pairs (a, b) of narrow columns, and of wide ones (gram, c, n)."""
+    """Postings in the order of columns as rows of two kinds: pairs (a, b) of each narrow column, with how many such n the pair has
+    to share, and of wide ones (gram, c, n)."""
     p, q = t.numerator, t.denominator
 
     @task("jaccard")
@@ -163,7 +172,7 @@ def _columns(postings: DataFrame, t: Fraction) -> DataFrame:
         def out(cols: list[np.ndarray], kind: str) -> pa.RecordBatch:
             none = pa.nulls(len(cols[0]), pa.int64())
             made = [pa.array(x.astype(np.int64)) for x in cols]
-            return pa.record_batch([*made, none, none, none] if kind == "pairs" else [none, none, *made], ["a", "b", "gram", "c", "n"])
+            return pa.record_batch([*made[:2], none, none, made[2]] if kind == "pairs" else [none, none, *made], ["a", "b", "gram", "c", "n"])
 
         def done(g: np.ndarray, c: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -180,9 +189,11 @@ def _columns(postings: DataFrame, t: Fraction) -> DataFrame:
                     break
                 y = x + apart
                 need = -(-p * (n[x] + n[y]) // (p + q))
-                x, y = (v[(np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (c[x] != c[y])] for v in (x, y))
+                shared = _shared(n[x], n[y], t, EXTRA)
+                # the first columns that a pair shares have at most shared - 1 of its overlap before them
+                x, y, shared = (v[(np.minimum(n[x] - place[x], n[y] - place[y]) >= need - (shared - 1)) & (c[x] != c[y])] for v in (x, y, shared))
                 if len(x):
-                    yield out([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], "pairs")
+                    yield out([np.minimum(c[x], c[y]), np.maximum(c[x], c[y]), shared], "pairs")
 
         for batch in batches:
             now = [np.asarray(batch.column(k)).astype(np.int64) for k in ("gram", "c", "n", "place")]
@@ -283,7 +294,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction, every: bool = True) -> t
     def described(nodes: DataFrame) -> DataFrame:
         return distinct.join(small_side(small(nodes.distinct())), "c", "left_semi")
 
-    pairs = small(columns.where("a is not null").select("a", "b").distinct())
+    pairs = small(columns.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times >= n").select("a", "b"))
     wide = columns.where("gram is not null").select("gram", "c", "n")
     found = None
     if not wide.isEmpty():

@@ -299,9 +299,12 @@ def test_jaccard(docs, monkeypatch, narrow, block):
         assert bag(map(tuple, got)) == groups(rows_of(docs), n, t)
 
 
-def test_jaccard_of_a_large_group(spark, monkeypatch):
-    """Copies with some words changed, whose similarities lie on both sides of the bound, through wide columns and blocks."""
-    monkeypatch.setattr(jaccard, "NARROW", 4)
+@pytest.mark.parametrize("narrow, extra", [(4, 100), (12, 5), (200, 4)])
+def test_jaccard_of_a_large_group(spark, monkeypatch, narrow, extra):
+    """Copies with some words changed, whose similarities lie on both sides of the bound, through wide columns and blocks, and
+    through narrow ones of which a pair has to share several."""
+    monkeypatch.setattr(jaccard, "NARROW", narrow)
+    monkeypatch.setattr(jaccard, "EXTRA", extra)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(90)]
