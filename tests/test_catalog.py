@@ -49,19 +49,19 @@ def test_query(spark, sf_dir, name):
     assert rows(df.columns, got) == rows(columns, want.fetchall())
 
 
-def test_vec_hybrid_all_scores_every_embedding(spark, sf_dir):
-    got = {r["vec_id"] for r in catalog.QUERIES["vec_hybrid_all"](spark, sf_dir).collect()}
+def test_vec_hybrid_scores_every_embedding(spark, sf_dir):
+    got = {r["vec_id"] for r in catalog.QUERIES["vec_hybrid"](spark, sf_dir).collect()}
     assert {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()} <= got
 
 
-def test_json_roundtrip_all_is_the_whole_table(spark, sf_dir):
+def test_json_roundtrip_is_the_whole_table(spark, sf_dir):
     want = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
-    got = catalog.QUERIES["json_roundtrip_all"](spark, sf_dir)
+    got = catalog.QUERIES["json_roundtrip"](spark, sf_dir)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
-def test_join_full_all_has_every_key(spark, sf_dir):
-    got = [tuple(r) for r in catalog.QUERIES["join_full_all"](spark, sf_dir).collect()]
+def test_join_full_has_every_key(spark, sf_dir):
+    got = [tuple(r) for r in catalog.QUERIES["join_full"](spark, sf_dir).collect()]
     for at, name, key in ((0, "supplier", "s_suppkey"), (1, "customer", "c_custkey")):
         assert sorted(r[at] for r in got if r[at] is not None) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key).collect())
         assert any(r[at] is None for r in got)
