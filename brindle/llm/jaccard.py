@@ -1,7 +1,11 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix, under size-derived bounds.
 
 Equal shingle sets are one class (a row of the matrix); the sets are hashed
-once and kept as a table. Columns are ordered by rising frequency; two classes
+once and kept as a table. Columns are ordered by rising frequency: those that
+repeat within some thousand documents by their counts, behind all others, and
+these by the length of their words, the longest first, as what texts share by
+chance is made of the shortest words. That needs no table that grows with the
+input, and a document's prefix stays rare at any size. Two classes
 that link share at least e columns among the first n - ceil(t n) + e of either
 (the prefix), where e is 1 and one more for each EXTRA of the smaller size, so
 only prefix columns with two or more classes say where the product can have
@@ -47,7 +51,9 @@ BLOCK_GRAMS = 1 << 20
 PART_ROWS = 20_000
 #: Frequent columns that get a place of their own at the end of the order, shingles counted at once, and the count from which
 #: rows of a column are dealt out over many tasks before they are grouped.
-FREQUENT, COUNTED, HOT = 100_000, 1 << 20, 2_000
+FREQUENT, COUNTED, HOT = 1 << 18, 1 << 22, 2_000
+#: Leading bits of a shingle's hash that say how short its words are.
+LEVEL = 6
 #: Columns that are multiplied at once, and the most classes of a column whose pairs are added up one by one.
 COLUMNS, FEW = 4096, 12
 SEED = 23
@@ -58,16 +64,24 @@ BITS = 4096
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes; of fewer than n words, the whole sequence is one."""
+    """Each row's sorted distinct shingle hashes; of fewer than n words, the whole sequence is one. Shingles of long words come first."""
     data, offsets = buffers(part.column("text"))
     words = Words(LOWER[data], offsets, SPACED)
     hashes = words.hashes(SEED)
+    ends = np.r_[0, np.cumsum(words.end - words.start)]
+
+    def hashed(start: np.ndarray, k: int) -> np.ndarray:
+        # quarters of a byte of the mean word, as a level before the hash's other bits
+        level = np.minimum(4 * (ends[start + k] - ends[start]) // k, (1 << LEVEL) - 1)
+        top = np.int64((1 << (LEVEL - 1)) - 1) - level
+        return (top << np.int64(64 - LEVEL)) | (runs(hashes, k, SEED)[start] >> np.uint64(LEVEL)).view(np.int64)
+
     start, row = words.grams(n)
-    grams = runs(hashes, n, SEED)[start].view(np.int64)
+    grams = hashed(start, n)
     for k in range(1, n):
         short = np.flatnonzero(words.counts == k)
         if len(short):
-            grams = np.r_[grams, runs(hashes, k, SEED)[words.first[short]].view(np.int64)]
+            grams = np.r_[grams, hashed(words.first[short], k)]
             row = np.r_[row, short]
     order = np.lexsort((grams, row))
     grams, row = grams[order], row[order]
@@ -110,7 +124,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles and their counts, for the order of columns and the spread of hot ones only: any order that all tasks share is right."""
+    """The commonest shingles and their counts, for the order of columns and the spread of hot ones only: any order that all tasks share is right.
+
+    Shingles are counted COUNTED at a time, and those that come once in such a
+    stretch aren't passed on; a column with a fixed share of all rows is found
+    at any size.
+    """
 
     @task("jaccard")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +137,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def flush() -> Iterator[pa.RecordBatch]:
             gram, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-            yield pa.record_batch([pa.array(gram[times > 2]), pa.array(times[times > 2].astype(np.int64))], ["gram", "times"])
+            yield pa.record_batch([pa.array(gram[times > 1]), pa.array(times[times > 1].astype(np.int64))], ["gram", "times"])
             held.clear()
 
         for batch in batches:
@@ -128,8 +147,16 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield from flush()
         yield from flush()
 
-    rows = sets.select("grams").mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT)
-    rows = rows.toArrow()
+    stretches = 1 + (sets.agg(F.sum("n").alias("n")).first()["n"] or 0) // COUNTED
+    found = settle(sets.select("grams").coalesce(stretches).mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")))
+    # the least count of which all fit, rather than a sort of all
+    least, held = 3, 0
+    for x in found.groupBy(F.least("times", F.lit(HOT)).alias("times")).count().orderBy(F.desc("times")).toLocalIterator():
+        held += x["count"]
+        if held > FREQUENT:
+            least = max(least, x["times"] + 1)
+            break
+    rows = found.where(F.col("times") >= least).orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
     gram, times = rows["gram"].to_numpy(), rows["times"].to_numpy()
     order = np.argsort(gram)
     return gram[order], times[order]

@@ -331,6 +331,28 @@ def test_jaccard_products(monkeypatch, few, columns):
             assert jaccard._overlaps(rows, pairs[:, 0], pairs[:, 1], t).tolist() == [len(x & y) >= t * len(x | y) for x, y in sets]
 
 
+@pytest.mark.parametrize("frequent", [0, 1 << 18])
+def test_jaccard_columns_that_texts_share_by_chance(spark, monkeypatch, frequent):
+    """What texts share by chance (frequent = 0: short words, no counts) or as passages that come twice in a stretch stays out of prefixes."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "COUNTED", 1)
+    rng = np.random.default_rng(8)
+    if frequent:
+        passages = [" ".join(f"passage{p:02d}x{i:03d}" for i in range(60)) for p in range(20)]
+        texts = [" ".join(f"{d:03d}{i:02d}" for i in range(100)) + " " + passages[d % 20] for d in range(300)]
+    else:
+        texts = [" ".join(f"ownword{d:03d}x{i:02d}" for i in range(60)) + " " + " ".join(rng.choice(list("abcdefghijkl"), 140)) for d in range(300)]
+    t, conf = Fraction(85, 100), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(d, x, d) for d, x in enumerate(texts)], "doc_id long, text string, th long").coalesce(1)
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, 40)
+    try:
+        sets = jaccard.settle(jaccard._sets(docs, 4)).withColumnRenamed("rid", "c")
+        assert jaccard._columns(jaccard._postings(sets, t, jaccard._frequent(sets)), t).count() < 30
+    finally:
+        spark.conf.set(conf, before)
+
+
 @pytest.mark.parametrize("narrow, block", [(48, 500), (4, 16), (2, 7)])
 def test_jaccard_links_are_all(spark, monkeypatch, narrow, block):
     """Every link of groups of near copies, and each row's number of links, whatever column or block finds it."""
