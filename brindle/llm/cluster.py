@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 500_000
+#: The same for single numbers that choose among rows of many kilobytes, as a shuffle of those takes more disk than their table.
+IDS = 1_000_000
 #: Facts about keys are broadcast up to so many, so that joins of large tables have one plan at nearly every size.
 FACTS = 20_000
 #: Rows of one key that one task of a join takes, and the most keys that are split for having more.

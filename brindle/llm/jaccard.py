@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import fan_join, settle, small_side, stored, table
+from .cluster import IDS, fan_join, settle, small_side, stored, table
 from .components import components
 from .textkit import LOWER, SPACED, Words, buffers, chunks, runs, task
 
@@ -309,7 +309,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction, every: bool = True) -> t
     many = settle(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("c"), F.count("*").alias("m")).where("m > 1"))
     rows = fan_join(sets.select("rid", "doc_id", "th", "n", "key"), many, "key", "m", "rid").select("rid", "doc_id", "th", "n", F.coalesce("c", "rid").alias("c"))
     again = settle(rows.where("rid <> c and n > 0").select("rid"))
-    single = sets.where("n > 0").join(small_side(again), "rid", "left_anti").select(F.col("rid").alias("c"), "n", "grams")
+    single = sets.where("n > 0").join(small_side(again, IDS), "rid", "left_anti").select(F.col("rid").alias("c"), "n", "grams")
     distinct = single.join(small_side(many.select("c", "m")), "c", "left").withColumn("m", F.coalesce("m", F.lit(1)))
 
     columns = settle(_columns(_postings(single, t, _frequent(single)), t))
@@ -319,7 +319,7 @@ def jaccard_links(docs: DataFrame, n: int, t: Fraction, every: bool = True) -> t
         return settle(df.coalesce(parts))
 
     def described(nodes: DataFrame) -> DataFrame:
-        return distinct.join(small_side(small(nodes.distinct())), "c", "left_semi")
+        return distinct.join(small_side(small(nodes.distinct()), IDS), "c", "left_semi")
 
     pairs = small(columns.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("times"), F.first("n").alias("n")).where("times >= n").select("a", "b"))
     wide = columns.where("gram is not null").select("gram", "c", "n")

@@ -353,6 +353,20 @@ def test_jaccard_columns_that_texts_share_by_chance(spark, monkeypatch, frequent
         spark.conf.set(conf, before)
 
 
+def test_near_copies_multiply_no_chance_columns(spark, monkeypatch):
+    """The pipeline's stage keeps few pairs on disk where texts share but short words, and drops the copies all the same."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    columns, made = jaccard._columns, []
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard, "_columns", lambda *a: made.append(columns(*a).count()) or columns(*a))
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"ownword{d:03d}x{i:02d}" for i in range(60)) + " " + " ".join(rng.choice(list("abcdef"), 140)) for d in range(300)]
+    rows = [(d, x, "en", "s", len(x)) for d, x in enumerate([*texts, texts[0], texts[1] + " end"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == list(range(300))
+    assert made[0] < 100
+
+
 @pytest.mark.parametrize("narrow, block", [(48, 500), (4, 16), (2, 7)])
 def test_jaccard_links_are_all(spark, monkeypatch, narrow, block):
     """Every link of groups of near copies, and each row's number of links, whatever column or block finds it."""
