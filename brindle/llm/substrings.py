@@ -160,8 +160,8 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     branching = settle(contents.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("branching", F.lit(True)))
     known = settle(fan_join(contents, branching, "m", "kinds", "h1"))
     placed = fan_join(kept, known, same, "size", "doc_id")
-    # a run that its source document has as well is repeated as a whole; of branching ones the source's own edges are open
-    places = stored(placed.where("doc_id > source.doc_id or (branching and doc_id = source.doc_id and th = source.th and start = source.start)"))
+    # a run that a smaller document has as well is repeated as a whole; of branching ones the edges at all places in the source document are open
+    places = stored(placed.where("doc_id > source.doc_id or (branching and doc_id = source.doc_id)"))
     discard(kept)
     at_source = [F.col("source.doc_id").alias("s_id"), F.col("source.th").alias("s_th"), F.col("source.start").alias("s_start")]
     whole = places.where("doc_id > source.doc_id").select(*PLACE, "n", *at_source)

@@ -232,6 +232,16 @@ def test_paths_over_stretches(docs, monkeypatch):
     assert bag(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == removed(rows_of(docs), 5)
 
 
+@pytest.mark.parametrize("window", [50, 5])
+def test_runs_twice_in_their_source(spark, window):
+    """Runs that stand several times in the first document that has them, with edges that a smaller document has in other runs."""
+    w = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(w[:150])), (2, " ".join(["x", *w[20:200], "y", *w[20:200], "z", *w[100:220]])), (3, " ".join(w[90:200])), (4, "q " + "on off " * 40), (5, "r " + "on off " * 300), (6, "on " * 70), (7, "s " + "on " * 400)]
+    rows += [(5, "t " + "on off " * 300), (2, " ".join(["v", *w[20:200]]))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window)
+    assert bag(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == removed(rows, window)
+
+
 def test_licenses(docs):
     def want(d, t):
         w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
