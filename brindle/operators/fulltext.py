@@ -14,6 +14,8 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 WORD = r"[\p{L}\p{N}]+"
 #: Folders that an index deals its postings to, by a hash of the token.
 PARTS = 64
+#: Ids that go to the broadcast side of a join, at most.
+NARROW_ROWS = 500_000
 #: Scripts that are written without blanks, whose tokens are pairs of characters.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
@@ -27,10 +29,46 @@ def query_tokens(query: str) -> list[str]:
 
 
 def postings(docs: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """(doc, token, tf, field_len): the tokens of all columns of a row are one bag."""
-    bag = docs.select(F.col(id_column).alias("doc"), tokens(F.concat_ws(" ", *columns)).alias("bag"))
-    words = bag.select("doc", F.size("bag").cast("long").alias("field_len"), F.explode("bag").alias("token"))
-    return words.groupBy("doc", "token").agg(F.count("*").alias("tf"), F.first("field_len").alias("field_len"))
+    """(doc, token, tf, field_len): the tokens of all columns of a row are one bag, rows of one id one document."""
+    alone, met = _by_id(docs, id_column, *columns)
+    return _row_postings(alone) if met is None else _row_postings(alone).unionByName(_met_postings(met))
+
+
+def vocabulary(docs: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """(token, df, total): how many documents have a token and how often, as postings() counts them, without a row for each of its counts."""
+    alone, met = _by_id(docs, id_column, *columns)
+    bag = alone.select(tokens(F.col("text")).alias("bag")).select("bag", F.array_distinct("bag").alias("kinds"))
+    seen = bag.select(F.size("kinds").alias("n"), F.posexplode(F.concat("kinds", "bag")).alias("at", "token"))
+    counts = seen.select("token", (F.col("at") < F.col("n")).cast("long").alias("df"), (F.col("at") >= F.col("n")).cast("long").alias("total"))
+    if met is not None:
+        counts = counts.unionByName(_met_postings(met).select("token", F.lit(1).cast("long").alias("df"), F.col("tf").alias("total")))
+    return counts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _by_id(docs: DataFrame, id_column: str, *columns: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of the rows whose id no other has, which count for themselves, and of all others, which have to meet. Ids are read first."""
+    rows = docs.select(F.col(id_column).alias("doc"), F.concat_ws(" ", *columns).alias("text"))
+    shared = rows.groupBy("doc").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc").alias("shared"))
+    n = shared.count()
+    if n == 0:
+        return rows, None
+    same, shared = F.col("doc").eqNullSafe(F.col("shared")), F.broadcast(shared) if n <= NARROW_ROWS else shared
+    return rows.join(shared, same, "left_anti"), rows.join(shared, same, "left_semi")
+
+
+def _met_postings(rows: DataFrame) -> DataFrame:
+    return _row_postings(rows).groupBy("doc", "token").agg(F.sum("tf").alias("tf"), F.first("field_len").alias("field_len"))
+
+
+def _row_postings(rows: DataFrame) -> DataFrame:
+    """postings() of (doc, text), each row by itself: equal tokens are neighbours in a sorted bag, and from one start to the next they are counted."""
+    n = F.size("bag")
+    bag = rows.select("doc", F.sort_array(tokens(F.col("text"))).alias("bag"))
+    starts = F.filter(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: ~F.get("bag", i).eqNullSafe(F.get("bag", i - 1)))  # 0 to n - 1; none of an empty bag
+    ends = F.slice(F.concat("at", F.array(n)), F.lit(2), F.size("at"))
+    runs = F.arrays_zip(F.array_distinct("bag").alias("token"), F.col("at").alias("start"), ends.alias("end"))
+    words = bag.select("doc", "bag", starts.alias("at")).select("doc", n.cast("long").alias("field_len"), F.inline(runs))
+    return words.select("doc", "token", (F.col("end") - F.col("start")).cast("long").alias("tf"), "field_len")
 
 
 def bm25(docs: DataFrame, id_column: str, query: str, *columns: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

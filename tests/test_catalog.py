@@ -114,3 +114,45 @@ def test_no_key_carries_a_sketch(spark, sf_dir):
     plan = catalog.QUERIES["random_bounds"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "approx_count_distinct" in plan
     assert not [line for line in plan.splitlines() if "keys=[l_partkey" in line and "approx_count_distinct" in line]
+
+
+ODD_TEXTS = [(1, "b a b"), (1, "B c"), (2, None), (3, "..."), (4, "a"), (None, "a x"), (None, "x"), (5, ""), (6, "z z z Z"), (7, "ab a ab")]
+
+
+def odd_counts():
+    found = {}
+    for doc, text in ODD_TEXTS:
+        for w in (text or "").lower().replace(".", "").split():
+            found[doc, w] = found.get((doc, w), 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("narrow", [500_000, 0])
+def test_vocabulary_of_shared_ids(spark, monkeypatch, narrow):
+    monkeypatch.setattr(fulltext, "NARROW_ROWS", narrow, raising=False)
+    want = {}
+    for (_, w), tf in odd_counts().items():
+        want[w] = (want.get(w, (0, 0))[0] + 1, want.get(w, (0, 0))[1] + tf)
+    docs = spark.createDataFrame(ODD_TEXTS, "id int, text string")
+    assert {r["token"]: (r["df"], r["total"]) for r in fulltext.vocabulary(docs, "id", "text").collect()} == want
+    assert fulltext.vocabulary(docs.where("id in (2, 3, 5)"), "id", "text").collect() == []
+
+
+@pytest.mark.parametrize("name", ["fts_postings"])
+def test_vocabulary_shuffles_tokens_only(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(token") == 1
+
+
+@pytest.mark.parametrize("narrow", [500_000, 0])
+def test_postings_of_shared_ids(spark, monkeypatch, narrow):
+    monkeypatch.setattr(fulltext, "NARROW_ROWS", narrow, raising=False)
+    docs = spark.createDataFrame(ODD_TEXTS, "id int, text string")
+    got = fulltext.postings(docs, "id", "text").collect()
+    assert {(r["doc"], r["token"]): r["tf"] for r in got} == odd_counts() and len(got) == len(odd_counts())
+    assert {r["field_len"] for r in got if r["doc"] in (6, 7)} == {4, 3}
+
+
+def test_postings_count_within_rows(spark, sf_dir):
+    plan = fulltext.postings(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
