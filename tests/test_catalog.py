@@ -156,3 +156,12 @@ def test_postings_of_shared_ids(spark, monkeypatch, narrow):
 def test_postings_count_within_rows(spark, sf_dir):
     plan = fulltext.postings(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_index_files_are_sorted_by_token(spark, sf_dir, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "index")
+    fulltext.write_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", path, "text")
+    listed = [pq.ParquetFile(f).read(columns=["token"])["token"].to_pylist() for f in (tmp_path / "index" / "postings").rglob("*.parquet")]
+    assert listed and all(x == sorted(x) for x in listed)
