@@ -160,7 +160,7 @@ def write_index(docs: DataFrame, id_column: str, path: str, *columns: str) -> No
     """Postings of all columns of docs as a table in `path`, a folder for each part of the tokens, so that a search reads few of them."""
     slices = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // PARTS)
     part = F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
-    dealt = postings(docs, id_column, *columns).repartitionById(PARTS * slices, part * slices + F.pmod(F.xxhash64("doc", "token"), F.lit(slices)).cast("int"))
+    dealt = postings(docs, id_column, *columns).repartitionById(PARTS * slices, part * slices + F.pmod(F.xxhash64("doc"), F.lit(slices)).cast("int"))
     dealt.withColumn("part", part).sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/postings")
     docs.select(F.col(id_column).alias("doc"), F.regexp_count(F.lower(F.concat_ws(" ", *columns)), F.lit(WORD)).cast("long").alias("dl")).write.parquet(f"{path}/lengths")
 
